@@ -14,6 +14,9 @@ _VALUE = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _POWER = [np.cumprod(np.full(256, b, dtype=np.uint64)) for b in _BASE]
 BLOCK = 2_000_000
+#: A-Z to a-z, on arrays of bytes.
+LOWER_TABLE = np.arange(256, dtype=np.uint8)
+LOWER_TABLE[65:91] += 32
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

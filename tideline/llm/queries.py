@@ -1,14 +1,36 @@
-"""The registered queries of the training-data operators, with production parameters."""
+"""The registered queries of the training-data operators, with production parameters, and SQL where it can
+express the result."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, token_counts
+from tideline.llm import bpe, decontaminate, licenses, secrets, stream_dedup, token_counts, token_store, toxicity, warc
 from tideline.llm.common import table
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source is an owner; what it holds in one language is a repository."""
+    return secrets.scan_secrets(table(spark, sf_dir, "documents"), repo="concat_ws('/', source, lang)", owner="source")
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.store_and_verify(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stream_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.match_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -18,5 +40,36 @@ def op8_bpe_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op8_bpe_replay)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.grade_texts(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_token_store, op4_warc_round_trip, op5_stream_dedup, op6_decontamination,
+        op7_token_counts, op8_bpe_replay, op9_toxicity, op10_license_scan,
+    )
+}
+
+ORACLE_SQL = {
+    "op4_warc_round_trip": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        k AS (SELECT html, max(page_id) AS keeper FROM p WHERE strlen(html) >= 1000 GROUP BY html)
+        SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+               CASE WHEN k.keeper <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN k.keeper <> p.page_id THEN k.keeper END AS refers_to
+        FROM p LEFT JOIN k ON k.html = p.html
+    """,
+    "op5_stream_dedup": r"""
+        WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents),
+        g AS (SELECT text, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
+        SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.text) AS text_sha256
+        FROM t JOIN g ON t.text = g.text
+    """,
+}
