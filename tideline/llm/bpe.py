@@ -180,13 +180,13 @@ def decode(ids: np.ndarray, start: np.ndarray, size: np.ndarray, pool: np.ndarra
     )
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """One row per input row: id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit integers),
     decoded_sha256 (the decoded bytes) and, on request, the ids (array) and the decoded text.
 
     Null and empty texts have no tokens. A null id stays null. Repeated rows each give a row. Extra columns
     are ignored. path must be readable on every executor, as the tokenizer's package is."""
-    more = ", ids array<int>, decoded string" if with_ids else ""
+    more = ", ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table, start, size, pool = _tables(path, pattern)
@@ -203,6 +203,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_column: str = "do
                 out["decoded_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in raw], pa.string())
                 if with_ids:
                     out["ids"] = pa.array(parts, pa.list_(pa.int32()))
+                if with_text:
                     out["decoded"] = pa.array([x.decode("utf-8", "replace") for x in raw], pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 

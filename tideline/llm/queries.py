@@ -6,7 +6,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, decontaminate, licenses, secrets, stream_dedup, token_counts, token_store, toxicity, warc
+from tideline.llm import bpe, decontaminate, licenses, near_dedup, secrets, stream_dedup, token_counts, token_store, toxicity, warc
 from tideline.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.store_and_verify(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=4)
+
+
 def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -52,7 +56,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_secret_scan, op2_token_store, op4_warc_round_trip, op5_stream_dedup, op6_decontamination,
+        op1_secret_scan, op2_token_store, op3_near_dedup, op4_warc_round_trip, op5_stream_dedup, op6_decontamination,
         op7_token_counts, op8_bpe_replay, op9_toxicity, op10_license_scan,
     )
 }

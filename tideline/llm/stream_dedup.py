@@ -129,3 +129,16 @@ def exact_dedup(spark: SparkSession, source: str, id_column: str = "doc_id", tex
         F.col("place.row").alias("row"),
     )
 
+
+
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, with all their columns. docs is written to the shared folder, from where it
+    streams; a row is found again by its file and its place there."""
+    spark = docs.sparkSession
+    source = shared_dir(spark, "dedup-source")
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    docs.toDF(*plain).write.parquet(source)
+    own = {c: plain[docs.columns.index(c)] for c in (id_column, text_column)}
+    kept = exact_dedup(spark, source, own[id_column], own[text_column], **options).where("kept").select(F.col("file").alias("_file"), F.col("row").alias("_row"))
+    rows = spark.read.parquet(source).select(*plain, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return rows.join(kept, ["_file", "_row"], "left_semi").select(*plain).toDF(*docs.columns)

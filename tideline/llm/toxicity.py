@@ -162,3 +162,11 @@ def grade_texts(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id",
     schema = ", ".join([*(f"c{k} {given.schema[k].dataType.simpleString()}" for k in range(len(carried))), "toxic boolean, grade int, p_toxic double, expected_severity double"])
     out = given.mapInArrow(run, schema)
     return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carried)], *names[len(carried) :])
+
+
+def without_toxic(docs: DataFrame, model: OrdinalModel, **options) -> DataFrame:
+    """The rows of docs that the model does not call toxic, with all their columns."""
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    own = {k: plain[docs.columns.index(options.pop(k, v))] for k, v in (("id_column", "doc_id"), ("text_column", "text"))}
+    graded = grade_texts(docs.toDF(*plain), model, keep=plain, **own, **options)
+    return graded.where("NOT toxic").select(*plain).toDF(*docs.columns)
