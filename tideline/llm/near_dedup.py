@@ -307,6 +307,7 @@ def _full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """docs with one document of each group: rows whose id is not their component's go."""
+    """docs with one document of each group: rows whose id is not their component's go. Rows without an id stay,
+    since nothing names them."""
     dropped = near_groups(docs, id_column, text_column, **options).where("NOT kept").select(F.col(id_column).alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_column].eqNullSafe(F.col("_dropped")), "left_anti")
+    return docs.join(dropped, docs[id_column] == F.col("_dropped"), "left_anti")

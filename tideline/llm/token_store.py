@@ -197,12 +197,15 @@ def crc_before(crc: np.ndarray, behind: np.ndarray) -> np.ndarray:
 
 
 def _chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema("key binary, data binary, n long").parquet(f"{folder}/staged/kind=chunk")
+    path, schema = f"{folder}/staged/kind=chunk", "key binary, data binary, n long"
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def _recipes(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """Documents in order with the number of ids before each."""
     names = f"part long, start long, id {kind}, n long, root binary, chunks array<binary>"
+    if not _exists(spark, f"{folder}/recipes/kind=0"):
+        return spark.createDataFrame([], names)
     rows = spark.read.schema(names).parquet(f"{folder}/recipes/kind=0")
     #: One row for each recipe partition.
     parts = manifest(spark, folder).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -271,7 +274,7 @@ def read_ids(spark: SparkSession, folder: str, kind: str = "bigint") -> DataFram
 
 
 def store_and_verify(docs: DataFrame, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Write the store to the shared folder and read it back."""
+    """Write the store to the shared folder and read it back; no rows give none."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "tokens")
     write_store(docs, folder, tokenizer, end_id, id_column, text_column)
