@@ -114,14 +114,14 @@ def test_keep_one(spark):
 
 
 def test_posterior_bounds():
-    least = near_dedup.least_matches(0.8, 1e-5)
-    assert list(least) == sorted(least) and least[-1] < 0.8 * near_dedup.SIZE
+    least, size = near_dedup.least_matches(0.8, 1e-5), near_dedup.SIZE
+    assert list(least) == sorted(least) and all(m < 0.8 * n for m, n in zip(least, near_dedup.LOOKS)) and near_dedup.LOOKS[-1] == size + near_dedup.WIDE
     rng = np.random.default_rng(3)
-    left = rng.integers(0, 1 << 16, (4000, near_dedup.SIZE)).astype(np.uint16)
-    right = np.where(rng.random(left.shape) < 0.8, left, left + np.uint16(1))
-    assert len(near_dedup.likely(left, right, 0.8, 1e-5)) >= 3998
-    far = np.where(rng.random(left.shape) < 0.4, left, left + np.uint16(1))
-    assert len(near_dedup.likely(left, far, 0.8, 1e-5)) == 0
+    split = lambda x: [x[:, :size].astype(np.uint16), x[:, size:].astype(np.uint8)]
+    left = rng.integers(0, 250, (4000, size + near_dedup.WIDE))
+    near, far = (np.where(rng.random(left.shape) < share, left, left + 1) for share in (0.8, 0.65))
+    assert len(near_dedup.likely(split(left), split(near), 0.8, 1e-5)) >= 3998
+    assert len(near_dedup.likely(split(left), split(far), 0.8, 1e-5)) <= 4
 
 
 def test_signature_agreement_is_similarity():

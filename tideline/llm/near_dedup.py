@@ -5,7 +5,8 @@ share a bucket. In each bucket the members are first compared with one pivot; wh
 components, so that a bucket of thousands of near copies costs one comparison a copy. Members of a bucket
 that still lie in different components are compared in blocks of bounded size.
 
-A comparison reads the signatures batch by batch. With a uniform prior, m agreements of n make the similarity
+A comparison reads the signatures batch by batch, first the banded values, then the further ones that only
+classes in shared buckets have. With a uniform prior, m agreements of n make the similarity
 Beta(m + 1, n - m + 1); a pair is dropped as soon as its chance to reach the threshold falls below `miss`.
 Pairs that survive are decided on their full sets. With 32 bands of 4 values a pair at similarity 0.8 shares
 no bucket with a chance of 5e-8."""
@@ -19,7 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.common import materialised, text_of
@@ -28,11 +29,13 @@ from tideline.llm.flat import LOWER_TABLE, column_slices, flat, hashes, mix, run
 
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
-#: Values compared before each look at the posterior.
-BATCH = 16
+#: Further values, of 8 bits each; two different ones agree by chance once in 256, which drops no pair.
+WIDE = 512
+#: Numbers of values compared before each look at the posterior.
+LOOKS = (*range(16, SIZE + 1, 16), *range(SIZE + 64, SIZE + WIDE + 1, 64))
 _RNG = np.random.default_rng(41)
-_TIMES = _RNG.integers(0, 2**31, SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_FLIP = _RNG.integers(0, 2**32, SIZE, dtype=np.uint32)
+_TIMES = _RNG.integers(0, 2**31, SIZE + WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_FLIP = _RNG.integers(0, 2**32, SIZE + WIDE, dtype=np.uint32)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _INSIDE = np.ones(256, bool)
 _INSIDE[[9, 10, 11, 12, 13, 32]] = False
@@ -61,30 +64,32 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def signatures(sets: list[np.ndarray], block: int = 50_000) -> np.ndarray:
-    """A row of SIZE values for each set, none of which is empty: 16 bits of the least of its shingles under
-    each of SIZE orders."""
+def signatures(sets: list[np.ndarray], wide: bool = False, block: int = 50_000) -> np.ndarray:
+    """A row for each set, none of which is empty: low bits of the least of its shingles under each of SIZE
+    orders (16 bits) or, for the wide part, of WIDE further ones (8 bits)."""
+    orders = range(SIZE, SIZE + WIDE) if wide else range(SIZE)
+    kind = np.uint8 if wide else np.uint16
     count = np.fromiter(map(len, sets), np.int64, len(sets))
     ends = np.cumsum(count)
     value = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32) if sets else np.zeros(0, np.uint32)
-    out, i = np.zeros((len(sets), SIZE), np.uint16), 0
+    out, i = np.zeros((len(sets), len(orders)), kind), 0
     while i < len(sets):
         at = int(ends[i - 1]) if i else 0
         j = max(i + 1, int(np.searchsorted(ends, at + block, side="right")))
         part, begins = value[at : int(ends[j - 1])], ends[i:j] - count[i:j] - at
-        for k in range(SIZE):
-            out[i:j, k] = np.minimum.reduceat((part ^ _FLIP[k]) * _TIMES[k], begins).astype(np.uint16)
+        for c, k in enumerate(orders):
+            out[i:j, c] = np.minimum.reduceat((part ^ _FLIP[k]) * _TIMES[k], begins).astype(kind)
         i = j
     return out
 
 
 @cache
 def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
-    """For BATCH, 2 * BATCH, ... values compared: the fewest agreements at which the chance that the similarity
-    reaches the threshold is `miss` or more. That chance, of the Beta posterior, is the one that at most m of
-    n + 1 draws at the threshold succeed."""
+    """For each look: the fewest agreements at which the chance that the similarity reaches the threshold is
+    `miss` or more. That chance, of the Beta posterior, is the one that at most m of n + 1 draws at the threshold
+    succeed."""
     out = []
-    for n in range(BATCH, SIZE + 1, BATCH):
+    for n in LOOKS:
         below, m = 0.0, 0
         while m <= n:
             below += math.comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -95,16 +100,17 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def likely(left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> np.ndarray:
-    """Places of the row pairs that no look at the posterior drops."""
-    alive, agree = np.arange(len(left)), np.zeros(len(left), np.int64)
-    for k, least in enumerate(least_matches(threshold, miss)):
+def likely(left: list[np.ndarray], right: list[np.ndarray], threshold: float, miss: float) -> np.ndarray:
+    """Places of the row pairs that no look at the posterior drops; each side has banded and wide values."""
+    alive, agree, done = np.arange(len(left[0])), np.zeros(len(left[0]), np.int64), 0
+    for upto, least in zip(LOOKS, least_matches(threshold, miss)):
         if not len(alive):
             break
-        part = slice(k * BATCH, (k + 1) * BATCH)
-        agree = agree + (left[alive, part] == right[alive, part]).sum(1)
+        which, before = (0, 0) if upto <= SIZE else (1, SIZE)
+        part = slice(done - before, upto - before)
+        agree = agree + (left[which][alive, part] == right[which][alive, part]).sum(1)
         going = agree >= least
-        alive, agree = alive[going], agree[going]
+        alive, agree, done = alive[going], agree[going], upto
     return alive
 
 
@@ -112,33 +118,59 @@ def _similar(common: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) ->
     return 100 * common >= percent * (a + b - common)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array, kind: type = np.uint16, size: int = SIZE) -> np.ndarray:
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.uint16).reshape(len(column), SIZE) if raw else np.zeros((0, SIZE), np.uint16)
+    return np.frombuffer(raw, kind).reshape(len(column), size) if raw else np.zeros((0, size), kind)
 
 
-def _sets_of(docs: DataFrame, id_column: str, text_column: str, words: int, with_set: bool, also: list[Column] = []) -> DataFrame:
-    """id, key (digest of the set; null if it is empty), n and, of all rows, the signature or the set."""
+def _wide(column: pa.Array) -> np.ndarray:
+    return _matrix(column, np.uint8, WIDE)
+
+
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
+def _signed(docs: DataFrame, id_column: str, text_column: str, words: int) -> DataFrame:
+    """id, key (digest of the set; null if it is empty), n, signature of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in column_slices(whole, "text"):
+                sets = shingle_sets(batch.column("text"), words)
+                some = iter(signatures([x for x in sets if len(x)]))
+                sign = [next(some).tobytes() if len(x) else None for x in sets]
+                keys = pa.array(map(_digest, sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("id"), keys, pa.array(map(len, sets), pa.int64()), pa.array(sign, pa.binary())], ["id", "key", "n", "signature"])
+
+    given = docs.select(docs[id_column].alias("id"), text_of(docs[text_column]).alias("text"))
+    return given.mapInArrow(run, f"id {given.schema['id'].dataType.simpleString()}, key binary, n long, signature binary")
+
+
+def _full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """cid, n, signature, wide, shingles of the wanted classes (cid, key, id, signature). Rows that share an id
+    are told apart by their keys. A task gives a class once; that several do changes no result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
         for whole in batches:
             for batch in column_slices(whole, "text"):
                 sets = shingle_sets(batch.column("text"), words)
-                keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets]
-                if with_set:
-                    last = [x.tobytes() for x in sets]
-                else:
-                    some = iter(signatures([x for x in sets if len(x)]))
-                    last = [next(some).tobytes() if len(x) else None for x in sets]
-                own = [c for c in batch.schema.names if c != "text"]
+                rows = []
+                for k, (cid, key) in enumerate(zip(batch.column("cid").to_pylist(), batch.column("key").to_pylist())):
+                    if cid not in given and _digest(sets[k]) == key:
+                        given.add(cid)
+                        rows.append(k)
+                sets, some = [sets[k] for k in rows], pa.array(rows, pa.int64())
+                wide = signatures(sets, wide=True)
                 yield pa.RecordBatch.from_arrays(
-                    [*map(batch.column, own), pa.array(keys, pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(last, pa.binary())],
-                    [*own, "key", "n", "last"],
+                    [batch.column("cid").take(some), pa.array(map(len, sets), pa.int64()), batch.column("signature").take(some), pa.array([w.tobytes() for w in wide], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())],
+                    ["cid", "n", "signature", "wide", "shingles"],
                 )
 
-    given = docs.select(docs[id_column].alias("id"), text_of(docs[text_column]).alias("text"), *also)
-    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema if f.name != "text")
-    return given.mapInArrow(run, f"{own}, key binary, n long, last binary").withColumnRenamed("last", "shingles" if with_set else "signature")
+    mine = wanted.select(F.col("id").alias("own"), "cid", "key", "signature")
+    found = texts.join(mine, F.col("id").eqNullSafe(F.col("own"))).select(text_of("text").alias("text"), "cid", "key", "signature")
+    return found.mapInArrow(run, "cid long, n long, signature binary, wide binary, shingles binary")
 
 
 def _bucketed(classes: DataFrame) -> DataFrame:
@@ -163,23 +195,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> D
                 batch = whole.slice(at, 1000)
                 n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
                 alive = np.flatnonzero(100 * np.minimum(*n) >= percent * np.maximum(*n))
-                left, right = (_matrix(batch.column(c)) for c in ("signature_a", "signature_b"))
-                alive = alive[likely(left[alive], right[alive], percent / 100, miss)]
+                left, right = ([_matrix(batch.column(f"signature_{x}"))[alive], _wide(batch.column(f"wide_{x}"))[alive]] for x in "ab")
+                alive = alive[likely(left, right, percent / 100, miss)]
                 one, two = batch.column("shingles_a"), batch.column("shingles_b")
                 common = [len(np.intersect1d(np.frombuffer(one[k].as_py(), np.uint64), np.frombuffer(two[k].as_py(), np.uint64), assume_unique=True)) for k in alive.tolist()]
                 alive = alive[_similar(np.array(common, np.int64), n[0][alive], n[1][alive], percent)]
                 yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive))], ["a", "b"])
 
-    side = lambda x: sets.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "signature", "shingles")))
+    side = lambda x: sets.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "signature", "wide", "shingles")))
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
 
 
 def _survivors(members: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs of members (band, bucket, i, j, cid, comp, n, signature, own) of each block pair that lie in
+    """Pairs of members (band, bucket, i, j, cid, comp, n, signature, wide, own) of each block pair that lie in
     different components and that their signatures do not rule out; a pair counts in its first common band."""
 
     def pairs_of(group: dict[str, np.ndarray], band: int) -> tuple[np.ndarray, np.ndarray]:
-        n, sign, comp = group["n"], group["signature"], group["comp"]
+        n, sign, wide, comp = group["n"], group["signature"], group["wide"], group["comp"]
         left = np.flatnonzero(group["own"] & 1)
         right = np.flatnonzero(group["own"] & 2)
         out = []
@@ -194,13 +226,15 @@ def _survivors(members: DataFrame, percent: int, miss: float) -> DataFrame:
                 y = y[group["cid"][y] > group["cid"][x]]
             if not len(y):
                 continue
-            y = y[likely(np.broadcast_to(sign[x], (len(y), SIZE)), sign[y], percent / 100, miss)]
             bands = sign[y].view(np.int64) == sign[x].view(np.int64)
-            out.append((np.full(len(y), x), y, bands.argmax(1) == band))
+            y = y[bands.argmax(1) == band]
+            mine = [np.broadcast_to(z[x], (len(y), z.shape[1])) for z in (sign, wide)]
+            y = y[likely(mine, [sign[y], wide[y]], percent / 100, miss)]
+            out.append((np.full(len(y), x), y))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        x, y, first = (np.concatenate(z) for z in zip(*out))
-        return group["cid"][x[first]], group["cid"][y[first]]
+        x, y = (np.concatenate(z) for z in zip(*out))
+        return group["cid"][x], group["cid"][y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -210,7 +244,7 @@ def _survivors(members: DataFrame, percent: int, miss: float) -> DataFrame:
             key = np.stack([rows.column(c).to_numpy() for c in ("band", "bucket", "i", "j")], 1)
             edges = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             own = {c: rows.column(c).to_numpy() for c in ("cid", "comp", "n", "own")}
-            own["signature"] = _matrix(rows.column("signature").combine_chunks()) if rows.num_rows else np.zeros((0, SIZE), np.uint16)
+            own |= {"signature": _matrix(rows.column("signature")), "wide": _wide(rows.column("wide"))}
             found = []
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), rows.num_rows]):
                 if b - a > 1:
@@ -248,7 +282,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     have an empty set and are linked with nothing. Rows with the same set are one class, however many they
     are. A null id is larger than any other: it is a component's id only where no row has one. Rows that
     share an id share its fate. Extra columns are ignored."""
-    rows = materialised(_sets_of(docs, id_column, text_column, words, with_set=False), "near-rows")
+    rows = materialised(_signed(docs, id_column, text_column, words), "near-rows")
     classes = materialised(
         rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
         .withColumn("cid", F.monotonically_increasing_id()),
@@ -270,12 +304,12 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     #: Buckets whose members are in several components yet.
     placed = relabelled(members, labels, "cid", "comp")
     open_buckets = placed.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band", "bucket")
-    left = placed.join(open_buckets, ["band", "bucket"]).join(classes.select("cid", "n", "signature"), "cid")
+    left = placed.join(open_buckets, ["band", "bucket"]).join(sets.select("cid", "n", "signature", "wide"), "cid")
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = left.withColumn("blocks", blocks).withColumn("at", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(
-        "band", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "cid", "comp", "n", "signature",
+        "band", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "cid", "comp", "n", "signature", "wide",
         #: 1: on the left side of its block pair, 2: on the right, 3: on both.
         F.when(F.col("at") == F.col("other"), 3).when(F.col("at") < F.col("other"), 1).otherwise(2).alias("own"),
     )
@@ -297,15 +331,6 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     )
 
 
-def _full_sets(texts: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """cid, n, signature, shingles of the wanted classes (cid, key, id, n, signature). Rows that share an id
-    are told apart by their keys; a class may come more than once."""
-    mine = wanted.select(F.col("id").alias("own"), "cid", F.col("key").alias("of"), "signature")
-    found = texts.join(mine, F.col("id").eqNullSafe(F.col("own")))
-    built = _sets_of(found, "id", "text", words, with_set=True, also=[F.col("cid"), F.col("of"), F.col("signature")])
-    return built.where("key = of").select("cid", "n", "signature", "shingles")
-
-
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """docs with one document of each group: rows whose id is not their component's go. Rows without an id stay,
     since nothing names them."""
