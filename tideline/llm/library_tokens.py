@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
-import regex
 from tokenizers import Tokenizer
 from tokenizers.processors import ByteLevel as ByteOffsets
 
 from tideline.llm.flat import ranges
 from tideline.llm.units import UnitTable
 
-#: The pattern that the library's byte-level pre-tokenizer splits by.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
 
 class LibraryEncoder:
+    """Encodes units, which keep their ids wherever they stand. Most are joined to long texts that the library
+    encodes at once; the byte lengths of the tokens tell where each unit ends."""
+
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel ones
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -23,45 +25,38 @@ class LibraryEncoder:
         self.tokenizer.post_processor = ByteOffsets(trim_offsets=False)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.longest_special = max(map(len, self.special), default=0)
-        self.split = regex.compile(PATTERN).findall
-        self.model = self.tokenizer.model
-        #: Bytes as the letters of the vocabulary: printable ones stand for themselves, the others take the
-        #: code points from 256 on, in order.
-        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        others = [b for b in range(256) if b not in printable]
-        self.letter = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            #: Each letter of a token stands for a byte; special ones are plain text.
+            self.size[i] = len(token.encode()) if token in self.special else len(token)
 
-    def words_of(self, unit: str) -> list[str]:
-        body = unit[1:] if unit[0] == " " else unit
-        if body and max(body) < "ɐ":
-            if body.isalpha():
-                return [unit]
-            if body[-1] in ".,;:!?" and body[:-1].isalpha():
-                return [unit[:-1], unit[-1]]
-        return self.split(unit)
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.int32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids, all ids) of texts that are split alone as they are within a longer text."""
-        special = [k for k, u in enumerate(units) if any(s in u for s in self.special)]
-        split = [self.words_of(u) for u in units]
-        for k in special:
-            split[k] = [f"\0{units[k]}"]  # by the whole library, which finds special strings
-        number = {w: k for k, w in enumerate({w for ws in split for w in ws})}
-        whole = {split[k][0] for k in special}
-        ids = [
-            self.tokenizer.encode(w[1:], add_special_tokens=False).ids
-            if w in whole
-            else [t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.letter))]
-            for w in number
-        ]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
-        begin = np.cumsum(size) - size
-        each = np.fromiter(map(len, split), np.int64, len(split))
-        of = np.fromiter((number[w] for ws in split for w in ws), np.int64, int(each.sum()))
-        total = np.concatenate([[0], np.cumsum(size[of])])
-        ends = np.cumsum(each)
-        return total[ends] - total[ends - each], flat[ranges(begin[of], size[of])]
+    def encode_units(self, units: list[str], piece: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, all ids) of texts that are split alone as they are within a longer text. A unit joins
+        others if it begins with white space and ends with something else, as then no match spans the seam."""
+        joins = np.fromiter((u[0] in " \t\n\r\v\f" and not u[-1].isspace() for u in units), bool, len(units))
+        groups = [g for g in np.split(np.flatnonzero(joins), range(piece, int(joins.sum()), piece)) if len(g)]
+        groups += [np.array([k]) for k in np.flatnonzero(~joins).tolist()]
+        count, parts = np.zeros(len(units), np.int64), []
+        for group, ids in zip(groups, self._ids(["".join([units[k] for k in g.tolist()]) for g in groups])):
+            if len(group) > 1:
+                ends = np.cumsum([len(units[k].encode()) for k in group.tolist()])
+                upto = np.cumsum(self.size[ids])
+                at = np.searchsorted(upto, ends)
+                if at[-1] >= len(upto) or (upto[at] != ends).any():
+                    raise ValueError("tokens span a seam of joined units")
+                count[group] = np.diff(at + 1, prepend=0)
+            else:
+                count[group] = len(ids)
+            parts.append(ids)
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        order = np.concatenate(groups) if groups else np.zeros(0, np.int64)
+        begin = np.zeros(len(units), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return count, ids[ranges(begin, count)]
 
 
 _ENCODERS: dict[str, tuple[LibraryEncoder, UnitTable]] = {}
