@@ -13,7 +13,7 @@ _RNG = np.random.default_rng(20240229)
 _VALUE = _RNG.integers(1, 2**63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _POWER = [np.cumprod(np.full(256, b, dtype=np.uint64)) for b in _BASE]
-BLOCK = 2_000_000
+BLOCK = 500_000
 #: A-Z to a-z, on arrays of bytes.
 LOWER_TABLE = np.arange(256, dtype=np.uint8)
 LOWER_TABLE[65:91] += 32
@@ -89,7 +89,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.
     return starts, np.flatnonzero(last) + 1 - starts, np.searchsorted(starts, offsets)
 
 
-def column_slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def column_slices(batch: pa.RecordBatch, column: str, most: int = 3_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about `most` bytes of text."""
     _, offsets = flat(batch.column(column))
     i = 0

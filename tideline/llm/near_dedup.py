@@ -206,9 +206,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> D
     return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
 
 
-def _survivors(members: DataFrame, percent: int, miss: float) -> DataFrame:
+def _survivors(members: DataFrame, percent: int, miss: float, best: bool) -> DataFrame:
     """Pairs of members (band, bucket, i, j, cid, comp, n, signature, wide, own) of each block pair that lie in
-    different components and that their signatures do not rule out; a pair counts in its first common band."""
+    different components and that their signatures do not rule out; a pair counts in its first common band. With `best`, of each two
+    components that meet in a block pair the two members that agree most."""
 
     def pairs_of(group: dict[str, np.ndarray], band: int) -> tuple[np.ndarray, np.ndarray]:
         n, sign, wide, comp = group["n"], group["signature"], group["wide"], group["comp"]
@@ -230,10 +231,16 @@ def _survivors(members: DataFrame, percent: int, miss: float) -> DataFrame:
             y = y[bands.argmax(1) == band]
             mine = [np.broadcast_to(z[x], (len(y), z.shape[1])) for z in (sign, wide)]
             y = y[likely(mine, [sign[y], wide[y]], percent / 100, miss)]
-            out.append((np.full(len(y), x), y))
+            agree = (sign[y] == sign[x]).sum(1) + (wide[y] == wide[x]).sum(1)
+            out.append((np.full(len(y), x), y, agree))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        x, y = (np.concatenate(z) for z in zip(*out))
+        x, y, agree = (np.concatenate(z) for z in zip(*out))
+        if best and len(x):
+            low, high = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+            order = np.lexsort((-agree, high, low))
+            first = np.diff(low[order], prepend=low[order[0]] - 1).astype(bool) | np.diff(high[order], prepend=high[order[0]] - 1).astype(bool)
+            x, y = x[order[first]], y[order[first]]
         return group["cid"][x], group["cid"][y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,6 +280,21 @@ def _survivors(members: DataFrame, percent: int, miss: float) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
+def _blocks(members: DataFrame, sets: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+    """The members of buckets that hold several components yet, dealt to pairs of blocks of about `block`."""
+    placed = relabelled(members, labels, "cid", "comp")
+    open_buckets = placed.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band", "bucket")
+    left = placed.join(open_buckets, ["band", "bucket"]).join(sets.select("cid", "n", "signature", "wide"), "cid")
+    left = left.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
+    left = left.withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = left.select(
+        "band", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "cid", "comp", "n", "signature", "wide",
+        #: 1: on the left side of its block pair, 2: on the right, 3: on both.
+        F.when(F.col("at") == F.col("other"), 3).when(F.col("at") < F.col("other"), 1).otherwise(2).alias("own"),
+    )
+    return dealt.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j")
+
+
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-5, block: int = 256) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id that is reachable by links, its
     own included), kept (the id is the component's).
@@ -301,24 +323,15 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     links = materialised(_verified(pairs, sets, percent, miss), "near-links")
     labels = connected(links, "near-first")
 
-    #: Buckets whose members are in several components yet.
-    placed = relabelled(members, labels, "cid", "comp")
-    open_buckets = placed.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band", "bucket")
-    left = placed.join(open_buckets, ["band", "bucket"]).join(sets.select("cid", "n", "signature", "wide"), "cid")
-    blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    dealt = left.withColumn("blocks", blocks).withColumn("at", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "band", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "cid", "comp", "n", "signature", "wide",
-        #: 1: on the left side of its block pair, 2: on the right, 3: on both.
-        F.when(F.col("at") == F.col("other"), 3).when(F.col("at") < F.col("other"), 1).otherwise(2).alias("own"),
-    )
-    grouped = dealt.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j")
-    more = _survivors(grouped, percent, miss).distinct()
-    more = materialised(_verified(more, sets, percent, miss), "near-more")
-    over = relabelled(relabelled(more, labels, "a", "x"), labels, "b", "y").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    merged = connected(over, "near-second")
-    final = relabelled(relabelled(classes.select("cid", "key", "id"), labels, "cid", "first"), merged, "first", "comp")
+    #: First the likeliest pair of each two components, which joins most that belong together, then all others.
+    for best in (True, False):
+        pairs = _survivors(_blocks(members, sets, labels, block), percent, miss, best).distinct()
+        more = materialised(_verified(pairs, sets, percent, miss), "near-more")
+        over = relabelled(relabelled(more, labels, "a", "x"), labels, "b", "y").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        merged = connected(over, "near-merged")
+        moved = relabelled(labels.select("node", F.col("comp").alias("old")), merged, "old", "comp").select("node", "comp")
+        labels = materialised(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti").select("node", "comp")), "near-labels")
+    final = relabelled(classes.select("cid", "key", "id"), labels, "cid", "comp")
     final = materialised(final.select("cid", "key", "id", "comp"), "near-final")
     ids = final.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
     #: Components of one class need no row of their own.

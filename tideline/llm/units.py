@@ -50,7 +50,7 @@ class UnitTable:
     Beyond `limit` units the table starts anew, so that it never grows with the data; units over `longest`
     bytes are made each time."""
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000, longest: int = 64):
+    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, longest: int = 64):
         self.make, self.limit, self.longest = make, limit, longest
         self.clear()
 
