@@ -101,10 +101,10 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
 
 
 def likely(left: list[np.ndarray], right: list[np.ndarray], threshold: float, miss: float) -> np.ndarray:
-    """Places of the row pairs that no look at the posterior drops; each side has banded and wide values."""
+    """Places of the row pairs that no look at the posterior drops; each side has banded and maybe wide values."""
     alive, agree, done = np.arange(len(left[0])), np.zeros(len(left[0]), np.int64), 0
     for upto, least in zip(LOOKS, least_matches(threshold, miss)):
-        if not len(alive):
+        if not len(alive) or (upto > SIZE and len(left) == 1):
             break
         which, before = (0, 0) if upto <= SIZE else (1, SIZE)
         part = slice(done - before, upto - before)
@@ -212,7 +212,8 @@ def _survivors(members: DataFrame, percent: int, miss: float, best: bool) -> Dat
     components that meet in a block pair the two members that agree most."""
 
     def pairs_of(group: dict[str, np.ndarray], band: int) -> tuple[np.ndarray, np.ndarray]:
-        n, sign, wide, comp = group["n"], group["signature"], group["wide"], group["comp"]
+        n, sign, comp = group["n"], group["signature"], group["comp"]
+        values = [group[c] for c in ("signature", "wide") if c in group]
         left = np.flatnonzero(group["own"] & 1)
         right = np.flatnonzero(group["own"] & 2)
         out = []
@@ -229,9 +230,9 @@ def _survivors(members: DataFrame, percent: int, miss: float, best: bool) -> Dat
                 continue
             bands = sign[y].view(np.int64) == sign[x].view(np.int64)
             y = y[bands.argmax(1) == band]
-            mine = [np.broadcast_to(z[x], (len(y), z.shape[1])) for z in (sign, wide)]
-            y = y[likely(mine, [sign[y], wide[y]], percent / 100, miss)]
-            agree = (sign[y] == sign[x]).sum(1) + (wide[y] == wide[x]).sum(1)
+            mine = [np.broadcast_to(z[x], (len(y), z.shape[1])) for z in values]
+            y = y[likely(mine, [z[y] for z in values], percent / 100, miss)]
+            agree = (sign[y] == sign[x]).sum(1)
             out.append((np.full(len(y), x), y, agree))
         if not out:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -251,7 +252,9 @@ def _survivors(members: DataFrame, percent: int, miss: float, best: bool) -> Dat
             key = np.stack([rows.column(c).to_numpy() for c in ("band", "bucket", "i", "j")], 1)
             edges = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             own = {c: rows.column(c).to_numpy() for c in ("cid", "comp", "n", "own")}
-            own |= {"signature": _matrix(rows.column("signature")), "wide": _wide(rows.column("wide"))}
+            own["signature"] = _matrix(rows.column("signature"))
+            if not best:
+                own["wide"] = _wide(rows.column("wide"))
             found = []
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), rows.num_rows]):
                 if b - a > 1:
@@ -280,22 +283,22 @@ def _survivors(members: DataFrame, percent: int, miss: float, best: bool) -> Dat
     return members.mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, sets: DataFrame, labels: DataFrame, block: int) -> DataFrame:
+def _blocks(members: DataFrame, sets: DataFrame, labels: DataFrame, block: int, wide: bool) -> DataFrame:
     """The members of buckets that hold several components yet, dealt to pairs of blocks of about `block`."""
     placed = relabelled(members, labels, "cid", "comp")
     open_buckets = placed.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band", "bucket")
-    left = placed.join(open_buckets, ["band", "bucket"]).join(sets.select("cid", "n", "signature", "wide"), "cid")
+    left = placed.join(open_buckets, ["band", "bucket"]).join(sets.select("cid", "n", "signature", *["wide"] * wide), "cid")
     left = left.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
     left = left.withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = left.select(
-        "band", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "cid", "comp", "n", "signature", "wide",
+        "band", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "cid", "comp", "n", "signature", *["wide"] * wide,
         #: 1: on the left side of its block pair, 2: on the right, 3: on both.
         F.when(F.col("at") == F.col("other"), 3).when(F.col("at") < F.col("other"), 1).otherwise(2).alias("own"),
     )
     return dealt.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j")
 
 
-def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-5, block: int = 256) -> DataFrame:
+def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, percent: int = 80, miss: float = 1e-5, block: int = 512) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id that is reachable by links, its
     own included), kept (the id is the component's).
 
@@ -325,7 +328,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     #: First the likeliest pair of each two components, which joins most that belong together, then all others.
     for best in (True, False):
-        pairs = _survivors(_blocks(members, sets, labels, block), percent, miss, best).distinct()
+        pairs = _survivors(_blocks(members, sets, labels, block, wide=not best), percent, miss, best).distinct()
         more = materialised(_verified(pairs, sets, percent, miss), "near-more")
         over = relabelled(relabelled(more, labels, "a", "x"), labels, "b", "y").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         merged = connected(over, "near-merged")
