@@ -30,7 +30,7 @@ from tideline.llm.flat import LOWER_TABLE, column_slices, flat, hashes, mix, run
 ROWS, BANDS = 4, 32
 SIZE = ROWS * BANDS
 #: Further values, of 8 bits each; two different ones agree by chance once in 256, which drops no pair.
-WIDE = 512
+WIDE = 768
 #: Numbers of values compared before each look at the posterior.
 LOOKS = (*range(16, SIZE + 1, 16), *range(SIZE + 64, SIZE + WIDE + 1, 64))
 _RNG = np.random.default_rng(41)
