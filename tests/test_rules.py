@@ -176,6 +176,24 @@ def test_tip_prefers_rooted_then_deep_then_large(spark):
     assert one(graph.guarded_tip(df, "a", "default"), "id") == [("c",)] and graph.guarded_tip(df, "a", "other").count() == 0
 
 
+def test_chains_of_hundreds_are_followed_to_their_ends(spark):
+    name = lambda k: f"r{k:03}"
+    chain = [{"id": name(k), "continued_from_run_id": name(k - 1) if k else None, "parent_run_id": "p", "state": "running" if k == 300 else "completed"} for k in range(301)]
+    df = runs(spark, {"id": "p"}, *chain, {"id": "s"}, {"id": "t", "continued_from_run_id": "s"})
+    want = [("p", "p", 0), ("s", "t", 1), ("t", "t", 0), *((name(k), name(300), 300 - k) for k in range(301))]
+    assert one(graph.chain_tips(df), "id", "tip_id", "depth") == sorted(want, key=str)
+    assert one(graph.children_outcomes(df), "child_run_id", "tip_id", "outcome") == [(name(0), name(300), "pending")]
+    assert one(graph.tip_of(df, name(0)), "id") == [(name(300),)]
+    new = spark.createDataFrame([("s1", name(0), None, "n", "d", None, False, T(1))], TABLES["signals"])
+    added, outcome = transitions.deliver(df, new.limit(0), new)
+    assert one(added, "id", "run_id") == [("s1", name(300))] and one(outcome, "outcome") == [("delivered",)]
+
+
+def test_continuations_in_a_circle_are_an_error(spark):
+    with pytest.raises(ValueError):
+        graph.chain_tips(runs(spark, {"id": "a", "continued_from_run_id": "c"}, {"id": "b", "continued_from_run_id": "a"}, {"id": "c", "continued_from_run_id": "b"}, {"id": "d"}))
+
+
 def test_deep_trees_are_reported_as_cut(spark):
     df = runs(spark, {"id": "r0"}, *({"id": f"r{k}", "parent_run_id": f"r{k - 1}"} for k in range(1, 6)))
     roots = spark.createDataFrame([("r0",)], "id string")

@@ -1,7 +1,8 @@
 """Chains of continued runs and trees of child runs.
 
 Whole-table traversals double the length of the paths they know in each round (pointer jumping), so the number
-of joins follows the logarithm of the longest chain. Walks from one run use recursive SQL."""
+of joins follows the logarithm of the longest chain. Chains of continued runs are followed to their ends however
+long they are; depths of trees have the bounds that their callers give."""
 
 from __future__ import annotations
 
@@ -9,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.sources.schemas import TERMINAL
+from tideline.sources.store import delete, materialised
 
 
 def _jumped(pairs: DataFrame, most: int) -> DataFrame:
-    """node, at, depth: where each node's path of links (node, at) ends, and after how many links."""
+    """node, at, depth: where each node's path of links (node, at) is after `most` links or more, and after how
+    many links."""
     path = pairs.withColumn("depth", F.when(F.col("at") == F.col("node"), 0).otherwise(1).cast("long"))
     reach = 1
     while reach < most:
@@ -22,12 +25,33 @@ def _jumped(pairs: DataFrame, most: int) -> DataFrame:
     return path
 
 
-def chain_tips(runs: DataFrame, longest: int = 64) -> DataFrame:
-    """id, tip_id, depth: the run that each run's continuations lead to. Of several successors the largest id
-    counts. Chains over `longest` links end where the walk does."""
+def _followed(pairs: DataFrame) -> DataFrame:
+    """node, at, depth: where each node's path of links (node, at) ends, and after how many links. Each round is
+    written to the shared folder, and rounds go on until no path is open. Closed paths leave the join, so that
+    the many nodes of one long chain never meet at its end."""
+    spark = pairs.sparkSession
+    start = pairs.withColumn("ended", F.col("at") == F.col("node"))
+    path, where = materialised(start.select("node", "at", F.when(F.col("ended"), 0).otherwise(1).cast("long").alias("depth"), "ended"), "chains")
+    reach, nodes = 1, None
+    while path.where("NOT ended").limit(1).count():
+        nodes = path.count() if nodes is None else nodes
+        if reach > nodes:
+            delete(spark, where)
+            raise ValueError("continued runs form a cycle")
+        onward = path.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("depth").alias("more"), F.col("ended").alias("over"))
+        moved = path.where("NOT ended").join(onward, "at").select("node", F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("over").alias("ended"))
+        longer, there = materialised(moved.unionByName(path.where("ended")), "chains")
+        delete(spark, where)
+        path, where, reach = longer, there, reach * 2
+    return path.drop("ended")
+
+
+def chain_tips(runs: DataFrame) -> DataFrame:
+    """id, tip_id, depth: the run that each run's continuations lead to, however many they are. Of several
+    successors the largest id counts. Continuations in a circle are an error."""
     successor = runs.where("continued_from_run_id IS NOT NULL").groupBy("continued_from_run_id").agg(F.max("id").alias("next"))
     linked = runs.select(F.col("id").alias("node")).join(successor.withColumnRenamed("continued_from_run_id", "node"), "node", "left")
-    return _jumped(linked.select("node", F.coalesce("next", "node").alias("at")), longest).select(F.col("node").alias("id"), F.col("at").alias("tip_id"), "depth")
+    return _followed(linked.select("node", F.coalesce("next", "node").alias("at"))).select(F.col("node").alias("id"), F.col("at").alias("tip_id"), "depth")
 
 
 def tip_of(runs: DataFrame, run_id: str) -> DataFrame:

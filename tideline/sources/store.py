@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,21 @@ from tideline.functions.scalars import month_label
 from tideline.sources.schemas import TABLES
 
 
+def materialised(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written as Parquet to the folder that driver and executors share and read back; and where it lies."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tideline-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 class TableStore(Protocol):
     def read(self, name: str) -> DataFrame: ...
 
