@@ -160,6 +160,56 @@ def test_licenses(spark):
     assert licenses.scan_licenses(fixtures.empty(spark)).collect() == []
 
 
+def plain_wrapped(text, templates=licenses.TEMPLATES, containment=0.9):
+    """As plain_license, with windows over line ends: every run of a template's length / containment words."""
+    out = list(plain_license(text, templates, containment))
+    words = [(w, k) for k, line in enumerate((text or "").split("\n")) for w in words_of(line)]
+    labels, covered = set(out[5].split(",")) - {""}, set()
+    for label, ts in templates.items():
+        for t in ts:
+            size, own = math.ceil(len(words_of(t)) / containment - 1e-9), set(words_of(t))
+            need = math.ceil(containment * len(own) - 1e-9)
+            full = {k for k in {k for _, k in words} if len(own & {w for w, j in words if j == k}) >= need}
+            for a in range(len(words)):
+                window = words[a : a + size]
+                if len(common := own & {w for w, _ in window}) >= need:
+                    labels.add(label)
+                    out[6] = max(out[6], len(common) / len(own))
+                rest = [a + i for i, (w, k) in enumerate(window) if w in own and k not in full]
+                if len({words[i][0] for i in rest}) >= need:
+                    covered.update(("in", i) for i in range(rest[0], rest[-1] + 1))
+                    covered.update(("joined", i) for i in range(rest[0], rest[-1]))
+    inside = [i for kind, i in covered if kind == "in"]
+    out[7] += sum(("joined", i - 1) not in covered for i in inside)
+    out[5] = ",".join(sorted(labels))
+    return tuple(out)
+
+
+WRAPPED = {
+    "mit": "/*\n * Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files\n */\nint x;",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n# are met:\n",
+    "lgpl": "// This library is free software; you can redistribute it and/or\n// modify it under the terms of the GNU Lesser General Public\n// License as published by the Free Software Foundation; either",
+    "mpl": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at */",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\n\npurpose with or without fee is hereby granted, provided that",
+    "gpl": "dnl This program is free software: you can redistribute it and/or modify\ndnl it under the terms of the GNU General Public License as published by",
+}
+
+
+def test_wrapped_licenses(spark):
+    rng = np.random.default_rng(5)
+    rows = list(WRAPPED.items())
+    rows += [(f"{a} {b}", WRAPPED[a] + "\n" + WRAPPED[b]) for a in WRAPPED for b in WRAPPED]
+    for k, t in enumerate([t for ts in licenses.TEMPLATES.values() for t in ts]):
+        for drop in range(4):
+            gone = set(rng.permutation(len(t.split()))[:drop].tolist())
+            cut = [w + ("\n * " if rng.random() < 0.3 else " ") for i, w in enumerate(t.split()) if i not in gone]
+            rows += [(f"{k} {drop}", "".join(cut)), (f"{k} {drop} twice", f"x {t}\n{''.join(cut)}\n\n{''.join(cut)} {t}"), (f"{k} {drop} far", ("many other words " * 3).join(cut))]
+    got = {r[0]: tuple(r)[1:] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string").repartition(3)).collect()}
+    for label in WRAPPED:
+        assert label in got[label][5].split(",") and got[label][6] >= 0.9 and got[label][7] == 1
+    assert got == {k: plain_wrapped(t) for k, t in rows}
+
+
 # -- toxicity
 
 

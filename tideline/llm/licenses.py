@@ -5,7 +5,11 @@ when it holds at least `containment` of the template's words. Words are ordered
 corpus hold them, rare ones first. A template of n words that needs m in common can spare n - m, so each
 matching block holds one of its n - m + 1 rarest words (prefix filter), has m words or more (length filter),
 and at the place of the first common word enough words must be left on both sides (positional filter).
-Pairs that pass are counted in full, so no match is lost."""
+Pairs that pass are counted in full, so no match is lost.
+
+Notices are often wrapped, so windows of words that run over line ends are blocks, too: for a template of L
+words all runs of ceil(L / containment) words of a text. Comment marks are no words and do not count. The
+prefix and length filters pick the windows that are counted in full."""
 
 from __future__ import annotations
 
@@ -106,12 +110,17 @@ def word_frequencies(docs: DataFrame, words: list[bytes], text_column: str = "te
 class PrefixJoin:
     """Blocks against templates; words are numbered by frequency, rare ones first."""
 
-    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], frequency: dict[bytes, int], containment: float):
+    def __init__(self, templates: list[tuple[str, frozenset[bytes]]], lengths: list[int], frequency: dict[bytes, int], containment: float):
         order = {w: k for k, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
         self.templates = [(label, sorted(order[w] for w in words)) for label, words in templates]
         self.needed = [math.ceil(containment * len(words) - 1e-9) for _, words in self.templates]
+        self.window = [math.ceil(n / containment - 1e-9) for n in lengths]
+        self.member = np.zeros((len(self.templates), len(order)), bool)
+        self.rare = np.zeros((len(self.templates), len(order)), bool)
         self.prefix: dict[int, list[tuple[int, int]]] = {}
         for t, (_, words) in enumerate(self.templates):
+            self.member[t, words] = True
+            self.rare[t, words[: len(words) - self.needed[t] + 1]] = True
             for at, w in enumerate(words[: len(words) - self.needed[t] + 1]):
                 self.prefix.setdefault(w, []).append((t, at))
         words = list(order)
@@ -139,6 +148,27 @@ class PrefixJoin:
                     out[t] = common / len(words)
         return out
 
+    def wrapped(self, b: _Blocks, place: np.ndarray, number: np.ndarray, lines: list[set[int]]) -> Iterator[tuple[int, int, float, tuple[int, int] | None]]:
+        """(place, template, containment, passage) of the windows over line ends that match, given the places and
+        numbers of the templates' words and the lines that match each template. The passage goes from the first
+        to the last of the template's words in no such line, if those words alone match."""
+        for t, need in enumerate(self.needed):
+            rare = place[self.rare[t][number]]
+            if not len(rare):
+                continue
+            mine = self.member[t][number]
+            at, word = place[mine], number[mine]
+            stop = np.minimum(at + self.window[t], b.first[np.searchsorted(b.first, at, side="right")])
+            end, i = np.searchsorted(at, stop), np.arange(len(at))
+            next_rare = rare[np.minimum(np.searchsorted(rare, at), len(rare) - 1)]
+            open_ones = (end - i >= need) & (next_rare >= at) & (next_rare < stop) & (b.block[at[end - 1]] != b.block[at])
+            for lo, hi in zip(np.flatnonzero(open_ones).tolist(), end[open_ones].tolist()):
+                if (common := len(set(word[lo:hi].tolist()))) < need:
+                    continue
+                rest = [k for k in range(lo, hi) if int(b.block[at[k]]) not in lines[t]]
+                whole = len({int(word[k]) for k in rest}) >= need
+                yield int(at[lo]), t, common / len(self.templates[t][1]), (int(at[rest[0]]), int(at[rest[-1]])) if whole else None
+
 
 def _phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     joined = b" " + b" ".join(words) + b" "
@@ -154,13 +184,15 @@ def _phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
 def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", containment: float = 0.9, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
     """One row per input row: id, n_words, n_base (places of the phrases), first_word and last_word (their
     smallest and largest start, else null), base_labels, labels (distinct, sorted, comma-joined), score (the
-    largest containment; 1 where a phrase stands), n_blocks (matching lines).
+    largest containment; 1 where a phrase stands), n_blocks (matching lines and passages). A passage is a run
+    of overlapping windows over line ends that match a template without the lines that match it themselves.
 
     Null and empty texts have no words and score 0; blocks that repeat match each time; a null id stays null,
     repeated rows each give a row; extra columns are ignored."""
     cut = _template_words(templates)
     frequency = word_frequencies(docs, sorted({w for _, words in cut for w in words}), text_column)
-    join = PrefixJoin(cut, frequency, containment)
+    lengths = [len(t.encode().translate(WORDS).split()) for texts in templates.values() for t in texts]
+    join = PrefixJoin(cut, lengths, frequency, containment)
     last_words = _hash_of([b"license"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +202,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 b = _Blocks(batch.column("text"))
                 place, at = b.known(join.hash)
                 number = join.number[at]
+                every = place, number
                 #: Only blocks that hold a prefix word and enough of the templates' words.
                 open_blocks = np.unique(b.block[place][join.in_prefix[number]])
                 mine = np.isin(b.block[place], open_blocks)
@@ -180,6 +213,7 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 least = min(join.needed, default=1)
                 labels: list[set] = [set() for _ in range(n)]
                 score, matched = np.zeros(n), np.zeros(n, np.int64)
+                lines: list[set[int]] = [set() for _ in join.templates]
                 for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pairs)]):
                     if hi - lo < least:
                         continue
@@ -190,6 +224,18 @@ def scan_licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                         labels[d].update(join.templates[t][0] for t in found)
                         score[d] = max(score[d], *found.values())
                         matched[d] += 1
+                        for t in found:
+                            lines[t].add(int(block[lo]))
+                passages = []
+                for where, t, value, passage in join.wrapped(b, *every, lines):
+                    d = int(np.searchsorted(b.first, where, side="right")) - 1
+                    labels[d].add(join.templates[t][0])
+                    score[d] = max(score[d], value)
+                    passages += [(*passage, d)] if passage else []
+                reach = -1
+                for first, last, d in sorted(passages):
+                    matched[d] += first > reach
+                    reach = max(reach, last)
                 base: list[list] = [[] for _ in range(n)]
                 ends = np.unique(np.searchsorted(b.first, np.flatnonzero(b.hash == last_words[0]), side="right") - 1)
                 for d in ends.tolist():
