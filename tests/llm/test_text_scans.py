@@ -73,6 +73,14 @@ def test_ownership_counts(spark):
     assert [tuple(r) for r in secrets.ownership(found).collect()] == [("h", 5, 4, 3)]
 
 
+def test_copied_loose_values_are_counted(spark):
+    value, live = "Q7xK9mP2vT4wZ8nR5bY3cL", "aB3dE6gH9jK2mN5pQ8sT1vW4"
+    rows = [(k, f"see {value} here" + f" {live}" * (k == 0), "en", f"src{k}") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: (r["spans"], r["n_owned"], r["n_owner_specific"], r["n_copied"]) for r in secrets.scan_secrets(docs, repo="source", owner="source").collect()}
+    assert got == {0: (f"owned:32:{32 + len(live)}", 1, 1, 1), 1: ("", 0, 0, 1), 2: ("", 0, 0, 1)}
+
+
 # -- benchmark decontamination
 
 

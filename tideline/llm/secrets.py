@@ -2,7 +2,8 @@
 
 Each candidate is reduced to a hash, and the hashes are counted by the distinct repositories and owners
 that hold them. A value that many owners hold is a copied example; one that a single owner holds looks
-live. Random-looking strings that no fixed rule names are reported only when a single owner holds them."""
+live. Random-looking strings that no fixed rule names are reported only when a single owner holds them; those
+of many owners are counted as copied, but have no spans."""
 
 from __future__ import annotations
 
@@ -108,7 +109,8 @@ def ownership(found: DataFrame) -> DataFrame:
 def scan_secrets(docs: DataFrame, repo: str, owner: str, id_column: str = "doc_id", text_column: str = "text", copied_from: int = 3) -> DataFrame:
     """One row per input row: id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_owner_specific,
     n_copied. Spans are kind:start:end in code points, by start and then kind; base_sha256 is the hash of the
-    base ones. Candidates of `copied_from` owners or more count as copied, those of one owner as specific to it.
+    base ones. Candidates of `copied_from` owners or more count as copied, loose ones too although they have no
+    spans; those of one owner count as specific to it.
 
     repo and owner are SQL expressions over the row; null ones count as an owner or repository of their own.
     Null and empty texts have no spans; repeated rows each give a row but count once as an owner; a null id
@@ -126,11 +128,12 @@ def scan_secrets(docs: DataFrame, repo: str, owner: str, id_column: str = "doc_i
     scanned = materialised(scanned, "secrets")
     found = scanned.select("row", "repo", "owner", F.explode("found").alias("f")).select("row", "repo", "owner", "f.*")
     owners = ownership(found)
-    kept = found.join(owners, "hash").where((F.col("kind") < KINDS.index("owned")) | (F.col("n_owners") == 1))
-    spans = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
-    by_row = kept.groupBy("row").agg(
+    shown = (F.col("kind") < KINDS.index("owned")) | (F.col("n_owners") == 1)
+    counted = found.join(owners, "hash").where(shown | (F.col("n_owners") >= copied_from))
+    spans = F.array_sort(F.collect_list(F.when(shown, F.struct("start", "kind", "end"))))
+    by_row = counted.groupBy("row").agg(
         F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"] + 1), x["start"], x["end"])), ",").alias("spans"),
-        F.count_if(F.col("kind") == KINDS.index("owned")).alias("n_owned"),
+        F.count_if(shown & (F.col("kind") == KINDS.index("owned"))).alias("n_owned"),
         F.count_if(F.col("n_owners") == 1).alias("n_owner_specific"),
         F.count_if(F.col("n_owners") >= copied_from).alias("n_copied"),
     )
