@@ -81,6 +81,14 @@ def test_copied_loose_values_are_counted(spark):
     assert got == {0: (f"owned:32:{32 + len(live)}", 1, 1, 1), 1: ("", 0, 0, 1), 2: ("", 0, 0, 1)}
 
 
+def test_padded_loose_values_need_no_other_run(spark):
+    values = ["Q7xK9mP2vT4wZ8nR5b==", "aB3dE6gH9jK2mN5pQ8s=", "Q7xK9mP2vT4wZ8nR5==", "aB3dE6gH9jK2mN5pQ8"]
+    rows = [(k, f"({v})", "en", f"src{k}") for k, v in enumerate(values)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan_secrets(docs, repo="source", owner="source").collect()}
+    assert got == {0: "owned:1:21", 1: "owned:1:21", 2: "", 3: ""}
+
+
 # -- benchmark decontamination
 
 

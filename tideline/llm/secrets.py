@@ -72,7 +72,8 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = batch.column("text")
             data, offsets = flat(texts)
             flags = []
-            for inside, least in ((_IS_HEX, 16), (_IS_LOOSE, 20)):
+            #: A loose value of 20 may end in two '=', which are not of the run.
+            for inside, least in ((_IS_HEX, 16), (_IS_LOOSE, 18)):
                 start, length, first = runs(data, offsets, inside)
                 has = np.concatenate([[0], np.cumsum(length >= least)])
                 flags.append(np.diff(has[first]) > 0)
