@@ -207,6 +207,16 @@ def _chain(**more):
     return {"state": "completed", "completed_at": T(2), "retention_until": T(3)} | more
 
 
+def test_members_are_gathered_for_the_batch_only(spark):
+    open_ones = [_chain(id=f"o{k:02}", correlation_id="open", state="running" if k == 7 else "completed") for k in range(40)]
+    done = [_chain(id=f"{c}{k}", correlation_id=c, completed_at=T(1, hour), started_at=T(1, 3 - k)) for c, hour in (("x", 2), ("y", 1), ("z", 3)) for k in range(2)]
+    plan = retention.prunable(runs(spark, *open_ones, *done), NOW, batch=2)
+    assert [(r["logical_id"], r["run_ids"]) for r in plan.collect()] == [("y", ["y1", "y0"]), ("x", ["x1", "x0"])]
+    lines = plan._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    gathers = next(k for k, x in enumerate(lines) if "collect_list" in x)
+    assert any("LeftSemi" in x for x in lines[gathers:])  # the batch is joined below, so before members are gathered
+
+
 def test_prune_needs_every_member(spark):
     df = runs(spark, _chain(id="a"), _chain(id="b", continued_from_run_id="a", correlation_id="a", retention_until=None), _chain(id="c"), _chain(id="d", parent_run_id="c"), _chain(id="e", retention_until=T(10)))
     assert one(retention.prunable(df, NOW), "logical_id") == [("d",)]  # the child first, its parent in a later pass

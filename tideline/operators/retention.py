@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.scalars import moment, month_label
@@ -14,31 +14,47 @@ HISTORY_TABLES = ("events", "tasks", "attempts", "operations", "signals", "timer
 IDEMPOTENCY_TABLES = ("results", "ingress_keys")
 
 
-def chain_stats(runs: DataFrame, as_of: str, older_than_days: int = 0) -> DataFrame:
-    """logical_id, run_ids (in start order), oldest and newest completion, and four conditions over all members.
-    Members are gathered per chain; a chain's length is bounded by its continuations, not by the table."""
+def _logical() -> Column:
+    return F.coalesce("correlation_id", "id").alias("logical_id")
+
+
+def _conditions(as_of: str, older_than_days: int) -> list[Column]:
+    """Oldest and newest completion of a chain, and four conditions over all its members."""
     now = moment(as_of)
     cutoff = now - F.make_dt_interval(days=F.lit(older_than_days))
-    members = F.transform(F.array_sort(F.collect_list(F.struct("started_at", "id"))), lambda x: x["id"])
-    return runs.groupBy(F.coalesce("correlation_id", "id").alias("logical_id")).agg(
-        members.alias("run_ids"),
+    return [
         F.min("completed_at").alias("oldest_completed_at"),
         F.max("completed_at").alias("newest_completed_at"),
         F.bool_and(F.col("state").isin(*TERMINAL)).alias("terminal"),
         F.bool_and(F.col("completed_at").isNotNull()).alias("completed"),
         F.bool_and(F.col("retention_until").isNotNull() & (F.col("retention_until") < now)).alias("expired"),
         F.bool_and(F.col("completed_at") < cutoff).alias("older"),
-    )
+    ]
+
+
+def _members() -> Column:
+    return F.transform(F.array_sort(F.collect_list(F.struct("started_at", "id"))), lambda x: x["id"]).alias("run_ids")
+
+
+def chain_stats(runs: DataFrame, as_of: str, older_than_days: int = 0) -> DataFrame:
+    """logical_id, run_ids (in start order), oldest and newest completion, and four conditions over all members.
+    The result lists each chain's members, so they are gathered per chain."""
+    return runs.groupBy(_logical()).agg(_members(), *_conditions(as_of, older_than_days))
 
 
 def prunable(runs: DataFrame, as_of: str, older_than_days: int = 0, batch: int | None = 100) -> DataFrame:
     """Chains that may go, the oldest first. A chain stays while any run is a child of one of its members; the
-    parent is resolved to its chain, so that the test is a join on one key."""
-    stats = chain_stats(runs, as_of, older_than_days).where("terminal AND completed AND expired AND older")
-    logical = runs.select(F.col("id").alias("parent_run_id"), F.coalesce("correlation_id", "id").alias("logical_id"))
+    parent is resolved to its chain, so that the test is a join on one key. Sums that start before the shuffle
+    decide; members are gathered only for the chains of the result."""
+    stats = runs.groupBy(_logical()).agg(*_conditions(as_of, older_than_days)).where("terminal AND completed AND expired AND older")
+    logical = runs.select(F.col("id").alias("parent_run_id"), _logical())
     parents = runs.where("parent_run_id IS NOT NULL").select("parent_run_id").join(logical, "parent_run_id").select("logical_id").distinct()
-    out = stats.join(parents, "logical_id", "left_anti").select("logical_id", "run_ids", "oldest_completed_at", "newest_completed_at")
-    return out if batch is None else out.orderBy("oldest_completed_at", "logical_id").limit(min(batch, 1000))
+    out = stats.join(parents, "logical_id", "left_anti").select("logical_id", "oldest_completed_at", "newest_completed_at")
+    if batch is not None:
+        out = out.orderBy("oldest_completed_at", "logical_id").limit(min(batch, 1000))
+    own = runs.select(_logical(), "started_at", "id").join(out.select("logical_id"), "logical_id", "left_semi")
+    listed = out.join(own.groupBy("logical_id").agg(_members()), "logical_id").select("logical_id", "run_ids", "oldest_completed_at", "newest_completed_at")
+    return listed if batch is None else listed.orderBy("oldest_completed_at", "logical_id")
 
 
 def dependents(chains: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
