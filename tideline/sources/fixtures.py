@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tideline.sources.store import materialised
+
 #: Reference time of every query over the derived tables.
 AS_OF = "2001-08-01 00:00:00"
 RAW = ("orders", "customer", "lineitem")
@@ -137,31 +138,46 @@ DERIVATION: dict[str, str] = {
 _CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 
+def reads(sql: str) -> list[str]:
+    """The derived tables that a query names, in the order of their derivation."""
+    return [name for name in DERIVATION if re.search(rf"\b{name}\b", sql)]
+
+
+class _Derived(dict):
+    """Derived tables without their prefix; each, and what it is derived from, when it is first asked for. It is
+    written to the session's shared folder, so that queries scan it with pruned columns and pushed filters."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        super().__init__()
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __missing__(self, name: str) -> DataFrame:
+        sql = DERIVATION[f"wf_{name}"]
+        for other in reads(sql):
+            self[other.removeprefix("wf_")].createOrReplaceTempView(other)
+        for raw in RAW:
+            if re.search(rf"\b{raw}\b", sql):
+                self.spark.read.parquet(f"{self.sf_dir}/{raw}.parquet").createOrReplaceTempView(raw)
+        #: The tables' timestamps have no zone, and so must literals.
+        self[name], _ = materialised(self.spark.sql(sql.replace("TIMESTAMP '", "TIMESTAMP_NTZ '")), f"wf_{name}")
+        return self[name]
+
+
 def workflow_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """runs, events, tasks, timers, signals, schedules, versions. Each is derived once a session, from the ones
-    before it, and written to the session's shared folder, so that queries scan it with pruned columns and
-    pushed filters."""
+    """runs, events, tasks, timers, signals, schedules, versions; each is derived once a session, when first used."""
     key = spark.sparkContext.applicationId, sf_dir
     if key not in _CACHE:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tideline-")
-        folder = f"{base.rstrip('/')}/workflow-{uuid.uuid4().hex}"
-        for name in RAW:
-            spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-        frames = {}
-        for name, sql in DERIVATION.items():
-            #: The tables' timestamps have no zone, and so must literals.
-            made = spark.sql(sql.replace("TIMESTAMP '", "TIMESTAMP_NTZ '"))
-            made.write.parquet(f"{folder}/{name}")
-            frame = spark.read.schema(made.schema).parquet(f"{folder}/{name}")
-            frame.createOrReplaceTempView(name)
-            frames[name.removeprefix("wf_")] = frame
-        _CACHE[key] = frames
+        _CACHE[key] = _Derived(spark, sf_dir)
     return _CACHE[key]
 
 
 def with_tables(body: str) -> str:
-    """A query over the derived tables as one that needs the raw ones only."""
-    head = ", ".join(f"{name} AS ({sql})" for name, sql in DERIVATION.items())
+    """A query over the derived tables as one that needs the raw ones only. Each table that it reads, itself or
+    through another one, is worked out once."""
+    found = set(reads(body))
+    while more := {x for name in found for x in reads(DERIVATION[name])} - found:
+        found |= more
+    head = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in DERIVATION.items() if name in found)
     recursive = "RECURSIVE " if "RECURSIVE" in body else ""
     body = body.strip()
     if body.upper().startswith("WITH "):

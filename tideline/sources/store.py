@@ -13,11 +13,24 @@ from tideline.functions.scalars import month_label
 from tideline.sources.schemas import TABLES
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Where the session names none, a local
+    session gets a temporary one; on a cluster that is an error, since no folder of one machine would do."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tideline-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def materialised(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df, written as Parquet to the folder that driver and executors share and read back; and where it lies."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tideline-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
