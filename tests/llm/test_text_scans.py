@@ -111,13 +111,15 @@ def plain_match(texts, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("shard_words", [2_000_000, 20])
-def test_decontamination(spark, shard_words):
+@pytest.mark.parametrize("shard_words,group_bytes", [(100_000, 64_000_000), (20, 64_000_000), (20, 12_000)])
+def test_decontamination(spark, shard_words, group_bytes):
     rows = [r for r in fixtures.rows() if len(r[1] or "") < 20_000]
     items = [*ITEMS, *((100 + k, " ".join((rows[20 + k][1] or "").split()[3:40])) for k in range(5))]
     benchmark = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, n_words string")
     docs = spark.createDataFrame([*rows, *((900 + k, f"x {t} ONE two\nthree! solo b a b a b a b a b a b", *rows[0][2:]) for k, (_, t) in enumerate(items))], fixtures.SCHEMA)
-    got = decontaminate.match_items(docs, benchmark, shard_words=shard_words, keep=["doc_id"]).collect()
+    got = decontaminate.match_items(docs, benchmark, shard_words=shard_words, group_bytes=group_bytes, keep=["doc_id"]).collect()
+    _, groups = decontaminate.write_automata(benchmark, "item_id", "text", 10, shard_words, group_bytes)
+    assert (len(groups) > 1) == (group_bytes < 64_000_000) and (sum(map(len, groups)) > 1) == (shard_words == 20)
     given = docs.collect()
     want = Counter((r["doc_id"], *w) for r, w in zip(given, plain_match([r["text"] for r in given], items)))
     assert Counter(map(tuple, got)) == want
@@ -127,6 +129,41 @@ def test_decontamination(spark, shard_words):
     assert len(none) == len(given) and not any(r["contaminated"] for r in none)
 
 
+def test_long_texts_and_items_are_matched_whole(spark):
+    """Items longer than a piece, and texts longer than a stride, with hits over the edges of both."""
+    rng = np.random.default_rng(3)
+    spell = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 40, n))
+    items = [(k, spell(n)) for k, n in enumerate((1500, 300, 9, 4))]
+    texts = [f"{spell(700)} {' '.join(items[0][1].split()[40:1300])} {spell(5)} {items[2][1]} {items[3][1]}", items[1][1], spell(2000)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, None)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for group_bytes in (64_000_000, 12_000):
+        got = {r[0]: tuple(r)[1:] for r in decontaminate.match_items(docs, benchmark, shard_words=400, group_bytes=group_bytes, keep=["doc_id"]).collect()}
+        assert got == dict(enumerate(plain_match([*texts, None], items))) and got[0][1] >= 1260
+        cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, benchmark, shard_words=400, group_bytes=group_bytes, most_coverage=2.0).collect()}
+        assert set(cut) == {0, 1, 2, 3} and cut[1] == "" and len(words_of(cut[0])) == got[0][0] - got[0][1]
+
+
+def test_kept_columns_may_be_called_as_results(spark):
+    docs = spark.createDataFrame([(1, "text", 5, "x")], "doc_id long, text string, n_words long, spans string")
+    benchmark = spark.createDataFrame([(1, "text")], "item_id long, text string")
+    got = decontaminate.match_items(docs, benchmark, with_spans=True).first()
+    assert (got["n_words_given"], got["n_words"], got["spans_given"], got["spans"][0]["end"], got["text"]) == (5, 1, "x", 4, "text")
+    graded = spark.createDataFrame([(1, "text", True)], "doc_id long, text string, toxic boolean")
+    model = toxicity.OrdinalModel(np.zeros(0, np.uint64), np.zeros(0), np.array([50.0, 51, 52]))
+    assert toxicity.grade_texts(graded, model, keep=["doc_id", "toxic"]).columns[:3] == ["doc_id", "toxic_given", "toxic"]
+
+
+def test_automata_of_a_million_words_fit_a_worker():
+    rng = np.random.default_rng(9)
+    size = 0
+    for k in range(10):
+        words = [b"w%d" % w for w in rng.zipf(1.3, 100_000) % 50_000]
+        raw = decontaminate.SuffixAutomaton.built([(str(k * 2000 + a), words[a : a + 50]) for a in range(0, 100_000, 50)], 10).packed()
+        size += len(raw)
+    assert size < 150_000_000
+
+
 def test_remove_spans(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     clean = "nothing here is in any test item at all and it goes on"

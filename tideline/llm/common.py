@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.sources.store import shared_base
+
 SPACE = r"[\x20\x09-\x0D]+"
 #: A-Z to a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -19,14 +21,8 @@ WORDS = bytes(
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that driver and executors share (spark.checkpoint.dir); where the session
-    has none, as in local tests, a temporary folder becomes the checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tideline-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir)."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -54,3 +50,13 @@ def text_of(column: str | Column = "text") -> Column:
 def normalised(column: Column) -> Column:
     """The text with every run of ASCII white space replaced by one space."""
     return F.regexp_replace(column, SPACE, " ")
+
+
+def carried_columns(docs: DataFrame, keep: list[str], text_column: str, own: Collection[str] = ()) -> tuple[DataFrame, list[str], str]:
+    """The columns to keep as c0, c1 and so on, and the text, which goes to Python once: it is one of them, or
+    comes last as _text; the kept columns' names, with _given where an own result has the same; the text's name."""
+    columns = [docs[c].alias(f"c{k}") for k, c in enumerate(keep)]
+    text = f"c{keep.index(text_column)}" if text_column in keep else "_text"
+    if text == "_text":
+        columns.append(docs[text_column].alias(text))
+    return docs.select(*columns), [f"{c}_given" if c in own else c for c in keep], text

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import text_of
+from tideline.llm.common import carried_columns, text_of
 from tideline.llm.flat import column_slices, flat, hashes, runs
 from tideline.llm.decontaminate import _FOLD, _INSIDE
 
@@ -161,31 +161,38 @@ def grade_texts(docs: DataFrame, model: OrdinalModel, id_column: str = "doc_id",
     """One row per input row: the kept columns (the id), toxic (P(grade > 0) >= cut), grade (the number of
     thresholds passed with even odds), p_toxic, expected_severity.
 
-    Null and empty texts score as texts without words. A null id stays null, repeated rows each give a row,
-    extra columns are ignored unless kept. The model is of bounded size and goes along as a broadcast."""
+    Null and empty texts score as texts without words; very long ones are read whole. A null id stays null,
+    repeated rows each give a row, no rows give none, extra columns are ignored unless kept; a kept one that is
+    called as a result is comes out as <name>_given. The model is of bounded size and goes along as a broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    carried = [id_column] if keep is None else keep
-    names = [*(f"c{k}" for k in range(len(carried))), "toxic", "grade", "p_toxic", "expected_severity"]
+    fields = {"toxic": "boolean", "grade": "int", "p_toxic": "double", "expected_severity": "double"}
+    given, names, text = carried_columns(docs, [id_column] if keep is None else keep, text_column, fields)
+    plain = [f"c{k}" for k in range(len(names))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in column_slices(whole, "_text"):
-                value, doc = _words(batch.column("_text"))
+            for batch in column_slices(whole, text):
+                value, doc = _words(batch.column(text))
                 above = sent.value.above(sent.value.scores(value, doc, batch.num_rows))
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k) for k in range(len(carried))), pa.array(above[:, 0] >= cut), pa.array((above >= 0.5).sum(1), pa.int32()), pa.array(above[:, 0]), pa.array(above.sum(1))],
-                    names,
+                    [*(batch.column(c) for c in plain), pa.array(above[:, 0] >= cut), pa.array((above >= 0.5).sum(1), pa.int32()), pa.array(above[:, 0]), pa.array(above.sum(1))],
+                    [*plain, *fields],
                 )
 
-    given = docs.select(*[docs[c].alias(f"c{k}") for k, c in enumerate(carried)], text_of(docs[text_column]).alias("_text"))
-    schema = ", ".join([*(f"c{k} {given.schema[k].dataType.simpleString()}" for k in range(len(carried))), "toxic boolean, grade int, p_toxic double, expected_severity double"])
-    out = given.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(carried)], *names[len(carried) :])
+    schema = ", ".join([*(f"{c} {given.schema[c].dataType.simpleString()}" for c in plain), *(f"{c} {t}" for c, t in fields.items())])
+    return given.mapInArrow(run, schema).toDF(*names, *fields)
 
 
-def without_toxic(docs: DataFrame, model: OrdinalModel, **options) -> DataFrame:
-    """The rows of docs that the model does not call toxic, with all their columns."""
-    plain = [f"c{k}" for k in range(len(docs.columns))]
-    own = {k: plain[docs.columns.index(options.pop(k, v))] for k, v in (("id_column", "doc_id"), ("text_column", "text"))}
-    graded = grade_texts(docs.toDF(*plain), model, keep=plain, **own, **options)
-    return graded.where("NOT toxic").select(*plain).toDF(*docs.columns)
+def without_toxic(docs: DataFrame, model: OrdinalModel, text_column: str = "text", cut: float = 0.5) -> DataFrame:
+    """The rows of docs that the model does not call toxic, with all their columns as they are."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    given, names, text = carried_columns(docs, docs.columns, text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in column_slices(whole, text):
+                value, doc = _words(batch.column(text))
+                above = sent.value.above(sent.value.scores(value, doc, batch.num_rows))
+                yield batch.filter(pa.array(above[:, 0] < cut))
+
+    return given.mapInArrow(run, given.schema).toDF(*names)
