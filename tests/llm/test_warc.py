@@ -5,6 +5,7 @@ import struct
 import pyarrow.fs as fs
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from tideline.llm import warc
 from tideline.llm.common import shared_dir
@@ -52,6 +53,15 @@ def test_archives_roll_over_and_keep_payloads(spark):
     assert all(got[i] == (html or "") for i, _, html, *_ in rows if i in got) and len(got) >= 30
 
 
+def test_each_archive_has_a_reader(spark):
+    given = spark.createDataFrame(pages(), SCHEMA).repartition(20)
+    manifest = warc.archive_pages(given, shared_dir(spark, "warc"), archive_bytes=1_000, sample_bytes=1_000)
+    n, read = manifest.count(), warc.read_archives(manifest)
+    assert n > 20 and read.rdd.getNumPartitions() == n
+    assert sum(r[0] > 0 for r in read.groupBy(F.spark_partition_id()).count().select("count").collect()) > n // 2
+    assert read.count() == len(pages())
+
+
 def test_format(spark):
     given = spark.createDataFrame(pages(), SCHEMA).coalesce(1)
     path = warc.archive_pages(given, shared_dir(spark, "warc")).first()["path"]

@@ -199,7 +199,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
                 yield pack(rows)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return manifest.repartition(F.col("path")).mapInArrow(run, schema + ", payload binary" * with_payload)
+    #: A task for each archive, however small the manifest's rows are.
+    return manifest.repartitionByRange(max(1, manifest.count()), "path").mapInArrow(run, schema + ", payload binary" * with_payload)
 
 
 def archive_pages(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", revisit_from: int = 1000, **options) -> DataFrame:
@@ -212,7 +213,7 @@ def archive_pages(pages: DataFrame, folder: str, id_column: str = "page_id", url
     html = text_of(pages[html_column])
     given = pages.select(
         pages[id_column].cast("long").alias("page_id"), pages[url_column].cast("string").alias("url"), html.alias("html"),
-        F.octet_length(html).cast("long").alias("size"), F.sha2(html, 256).alias("key"),
+        F.octet_length(html).cast("long").alias("size"), F.when(F.octet_length(html) >= revisit_from, F.sha2(html, 256)).alias("key"),
     )
     #: Sums within a task come first, so that a payload that many pages share is no hot key.
     largest = (
