@@ -2,6 +2,7 @@ import base64
 import hashlib
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -10,7 +11,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from tests.llm import fixtures
-from tideline.llm import bpe, token_counts, token_store
+from tideline.llm import bpe, queries, token_counts, token_store
 from tideline.llm.bpe import MergeReplay
 from tideline.llm.common import shared_dir
 from tideline.llm.library_tokens import encoder
@@ -58,6 +59,28 @@ def test_token_store_files(spark, library):
     assert len(root) == 64 and root == token_store.dataset_root(spark, folder)
 
 
+def _files(spark, folder, part):
+    return sorted(Path(folder.removeprefix("file:")).glob(f"{part}/*.parquet"))
+
+
+@pytest.mark.parametrize("part,flip", [("staged/kind=chunk", False), ("staged/kind=chunk", True), ("recipes/kind=0", False), ("recipes/kind=0", True), ("recipes/kind=1", False)])
+def test_damage_is_an_error(spark, part, flip):
+    """A file that is gone, or a byte that is not what it was."""
+    folder = shared_dir(spark, "damaged")
+    token_store.write_store(fixtures.frame(spark), folder, JSON, end_id=2)
+    assert token_store.verify(spark, folder).count() == len(fixtures.rows())
+    victim = max(_files(spark, folder, part), key=lambda p: p.stat().st_size)
+    if flip:
+        raw = bytearray(victim.read_bytes())
+        raw[len(raw) // 3] ^= 1
+        victim.with_name(f".{victim.name}.crc").unlink()
+        victim.write_bytes(raw)
+    else:
+        victim.unlink()
+    with pytest.raises(Exception, match="do not match|does not match|missing or altered|orrupt|ecompress|inconsistent"):
+        token_store.verify(spark, folder).collect()
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 50_000, 20_000).astype(np.int32)
@@ -76,9 +99,9 @@ def test_crc_of_parts():
     assert got == zlib.crc32(b"".join(parts))
 
 
-@pytest.mark.parametrize("huge,chunk,overlap", [(65_536, 16_384, 256), (50, 700, 64)])
-def test_token_counts(spark, library, huge, chunk, overlap):
-    got = token_counts.count_tokens(fixtures.frame(spark), JSON, huge=huge, chunk=chunk, overlap=overlap)
+@pytest.mark.parametrize("chunk,overlap", [(16_384, 256), (4096, 256), (70, 64)])
+def test_token_counts(spark, library, chunk, overlap):
+    got = token_counts.count_tokens(fixtures.frame(spark), JSON, chunk=chunk, overlap=overlap)
     want = Counter()
     for r in fixtures.rows():
         n = len(library.encode(r[1] or "", add_special_tokens=False).ids)
@@ -87,6 +110,14 @@ def test_token_counts(spark, library, huge, chunk, overlap):
     assert token_counts.count_tokens(fixtures.empty(spark), JSON).collect() == []
 
 
+def test_counts_of_a_table_come_by_splices(spark):
+    where = "/root/testdata/sf0.01"
+    rows = queries.op7_token_counts(spark, where).collect()
+    #: The first chunk reads its overlap, too.
+    long = sum(len(r["text"] or "") > 4096 + 256 for r in spark.read.parquet(f"{where}/documents.parquet").collect())
+    assert sum(r["n_splices"] > 0 for r in rows) == long > 100
+
+
 def test_splices_and_widening(library):
     own, _ = encoder(JSON)
     for text in ("word " * 5000, "x" * 9000, "ab  \n " * 2000, "!" * 4000 + " tail", "日本語 " * 900):
@@ -108,12 +139,40 @@ def test_bpe(spark, ranked):
     assert bpe.encode_decode(fixtures.empty(spark), RANKS, P.PATTERN).collect() == []
 
 
-def test_replay_equals_plain_loop():
+def plain_merges(ranks, word):
+    """The lowest pair first, the leftmost of equal ones."""
+    parts = [bytes([b]) for b in word]
+    while word not in ranks and len(parts) > 1:
+        rank, i = min((ranks.get(x + y, 1 << 60), i) for i, (x, y) in enumerate(zip(parts, parts[1:])))
+        if rank == 1 << 60:
+            break
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [ranks[word]] if word in ranks else [ranks[x] for x in parts]
+
+
+@pytest.mark.parametrize("stepwise", [False, True])
+def test_replay_equals_plain_loop(stepwise):
     own = MergeReplay(RANKS, P.PATTERN)
     rng = np.random.default_rng(5)
     words = [rng.choice(list(b"aabbe nst\xc3\xa9"), rng.integers(1, 40)).astype(np.uint8).tobytes() for _ in range(400)] + [b"aaaaaaaaaaa", b"a"]
-    size, ids = own.replay(words)
+    size, ids = own.replay(words, stepwise)
     at = 0
     for w, n in zip(words, size.tolist()):
-        assert ids[at : at + n].tolist() == ([own.ranks[w]] if w in own.ranks else own.one_word(w))
+        assert ids[at : at + n].tolist() == plain_merges(own.ranks, w)
         at += n
+
+
+def test_early_pairs_are_taken_in_their_turn(tmp_path):
+    """Ranks in which a merge makes a pair that ranks before it, with several such places in a word."""
+    made = [b"ab", b"bc", b"abca", b"cab", b"abc", b"ca", b"caa", b"bca"]
+    rng = np.random.default_rng(8)
+    words = [rng.choice(list(b"abc"), rng.integers(1, 30)).astype(np.uint8).tobytes() for _ in range(300)]
+    for turn in range(6):
+        order = [made[k] for k in rng.permutation(len(made))]
+        path = tmp_path / f"{turn}.tiktoken"
+        tokens = [bytes([b]) for b in range(256)] + order
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % k for k, t in enumerate(tokens)))
+        own = MergeReplay(str(path), P.PATTERN)
+        size, ids = own.replay(words)
+        want = [plain_merges(own.ranks, w) for w in words]
+        assert size.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]

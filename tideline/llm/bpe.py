@@ -48,19 +48,12 @@ class MergeReplay:
         at = np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1)
         return np.where(self.pair[at] == key, self.makes[at], -1)
 
-    def one_word(self, word: bytes) -> list[int]:
-        """The plain loop over one word: the lowest pair first, the leftmost of equal ones."""
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            ranked = [(self.ranks.get(x + y, 1 << 60), i) for i, (x, y) in enumerate(zip(parts, parts[1:]))]
-            rank, i = min(ranked)
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[x] for x in parts]
-
-    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each word, all ids)."""
+    def replay(self, words: list[bytes], stepwise: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids of each word, all ids).
+
+        All places of the lowest rank merge at once. A merge may make a pair that ranks before the one it came
+        from; the other places of that rank in such a word should have waited. These few words are done again,
+        stepwise: of each word only the leftmost place merges, and the others go back into the index."""
         length = np.fromiter(map(len, words), np.int64, len(words))
         symbol = self.byte_id[np.frombuffer(b"".join(words), np.uint8)]
         n, start = len(symbol), np.cumsum(length) - length
@@ -71,24 +64,32 @@ class MergeReplay:
         token = np.full(n, -1, np.int32)
         paired = np.flatnonzero(after >= 0)
         token[paired] = self.merged(symbol[paired], symbol[paired + 1])
-        for k, w in enumerate(words):
-            if w in self.ranks:  # as the library does, before any merge
-                token[start[k] : start[k] + length[k]] = -1
+        whole = [k for k, w in enumerate(words) if w in self.ranks]  # as the library does, before any merge
+        for k in whole:
+            token[start[k] : start[k] + length[k]] = -1
         places = np.flatnonzero(token >= 0)
         places = places[np.argsort(token[places], kind="stable")]
         ranks, first = np.unique(token[places], return_index=True)
-        index = dict(zip(ranks.tolist(), np.split(places, first[1:]))) if len(ranks) else {}
-        later: dict[int, list[np.ndarray]] = {}
-        heap, alone = ranks.tolist(), []
+        index: dict[int, list[np.ndarray]] = {r: [p] for r, p in zip(ranks.tolist(), np.split(places, first[1:]))} if len(ranks) else {}
+        heap, early = ranks.tolist(), []
+
+        def enter(rank: int, where: np.ndarray) -> None:
+            if rank not in index:
+                index[rank] = []
+                heapq.heappush(heap, rank)
+            index[rank].append(where)
+
         while heap:
             rank = heapq.heappop(heap)
-            p = index.pop(rank, None)
-            if (more := later.pop(rank, None)) is not None:
-                p = np.unique(np.concatenate(more if p is None else [p, *more]))
-            if p is None:
-                continue
+            p = np.unique(np.concatenate(index.pop(rank)))
             p = p[token[p] == rank]
-            if len(p) > 1 and len(chained := np.flatnonzero(after[p[:-1]] == p[1:])):
+            if stepwise and len(p) > 1:
+                word = np.searchsorted(start, p, side="right")
+                leftmost = np.append(True, word[1:] != word[:-1])
+                if not leftmost.all():
+                    enter(rank, p[~leftmost])
+                p = p[leftmost]
+            elif len(p) > 1 and len(chained := np.flatnonzero(after[p[:-1]] == p[1:])):
                 #: Of places that overlap, as in "aaaa", the first, third and so on of each chain merge.
                 link = np.zeros(len(p), bool)
                 link[chained + 1] = True
@@ -111,25 +112,22 @@ class MergeReplay:
             left, made = left[made >= 0], made[made >= 0]
             if not len(left):
                 continue
-            if int(made.min()) < rank:
-                #: A new pair that comes before the rest of this rank: these words go by the plain loop.
-                alone.append(np.searchsorted(start, left[made < rank], side="right") - 1)
+            if not stepwise and int(made.min()) < rank:
+                early.append(np.searchsorted(start, left[made < rank], side="right") - 1)
             order = np.argsort(made, kind="stable")
             left, made = left[order], made[order]
             cut = np.flatnonzero(made[1:] != made[:-1]) + 1
             for t, where in zip(made[np.concatenate([[0], cut])].tolist(), np.split(left, cut)):
-                if t not in later:
-                    later[t] = []
-                    heapq.heappush(heap, t)
-                later[t].append(where)
-        whole = [k for k, w in enumerate(words) if w in self.ranks]
+                enter(t, where)
         for k in whole:
             symbol[start[k] : start[k] + length[k]] = -1
             symbol[start[k]] = self.ranks[words[k]]
-        for k in np.unique(np.concatenate(alone)).tolist() if alone else ():
-            ids = self.one_word(words[k])
-            symbol[start[k] : start[k] + length[k]] = -1
-            symbol[start[k] : start[k] + len(ids)] = ids
+        if early:
+            again = np.unique(np.concatenate(early)).tolist()
+            size, ids = self.replay([words[k] for k in again], stepwise=True)
+            for k, end, m in zip(again, np.cumsum(size).tolist(), size.tolist()):
+                symbol[start[k] : start[k] + length[k]] = -1
+                symbol[start[k] : start[k] + m] = ids[end - m : end]
         alive = np.concatenate([[0], np.cumsum(symbol >= 0)])
         return alive[start + length] - alive[start], symbol[symbol >= 0]
 
@@ -143,9 +141,9 @@ class MergeReplay:
                 return [unit[:-1], unit[-1]]
         return self.split(unit)
 
-    def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_units(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids, all ids) of texts that are split alone as they are within a longer text."""
-        split = [self.words_of(u) for u in units]
+        split = [self.words_of(data[a : a + n].tobytes().decode()) for a, n in zip(starts.tolist(), lengths.tolist())]
         number = {w: k for k, w in enumerate({w for ws in split for w in ws})}
         size, ids = self.replay([w.encode() for w in number])
         begin = np.cumsum(size) - size

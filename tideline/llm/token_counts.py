@@ -1,10 +1,11 @@
 """Token counts by overlap resynchronisation.
 
-A huge text is encoded in chunks that overlap. A place where a word of the tokenizer begins in both of two
+A text longer than a chunk is encoded in chunks that overlap. A place where a word of the tokenizer begins in both of two
 neighbouring chunks, far enough from the left chunk's end, is a place where a word begins in the whole text:
 the left chunk reads everything that decides it, and from there on the right chunk reads what the whole
 text holds. The counts are spliced there. Where the overlap has no such place it is doubled until it has one,
-at the latest at the text's end. Texts under the huge size are counted whole."""
+at the latest at the text's end. Texts of one chunk have nothing to splice and are counted whole, each distinct
+word of them once."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,19 +68,19 @@ def spliced_count(text: str, own: LibraryEncoder, chunk: int, overlap: int) -> t
     return total + len(left[0].ids) - left[3], splices, widened
 
 
-def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 512, huge: int = 65_536, chunk: int = 16_384, overlap: int = 256) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", limit: int = 512, chunk: int = 4096, overlap: int = 256) -> DataFrame:
     """One row per input row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit), n_splices,
-    n_widened. Texts over `huge` bytes are counted chunk by chunk.
+    n_widened. Texts over `chunk` characters are counted chunk by chunk, however long they are.
 
     Null and empty texts have no tokens; special strings inside texts count as the library's default has it.
-    A null id stays null, repeated rows each give a row, extra columns are ignored."""
+    A null id stays null, repeated rows each give a row, no rows give none, extra columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, units = encoder(path)
         for whole in batches:
             for batch in column_slices(whole, "text"):
                 size = batch.column("n_bytes").to_numpy(zero_copy_only=False)
-                long = size > huge
+                long = pc.utf8_length(batch.column("text")).to_numpy(zero_copy_only=False) > chunk
                 tokens = np.zeros((3, len(size)), np.int64)
                 if not long.all():
                     _, ends = units.encode(batch.column("text").filter(pa.array(~long)))

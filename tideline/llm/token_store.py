@@ -2,11 +2,12 @@
 
 A rolling hash over the ids cuts each document's stream into chunks at places that its content decides, so
 that equal passages give equal chunks. A chunk's address is the SHA-256 of its ids; each is stored once. A
-document's recipe lists its chunks; recipes lie in ascending id order. The Merkle root of a recipe stands for
-its document, each recipe file has the root of its documents' roots, and the manifest has one root above all.
+document's recipe lists the addresses and lengths of its chunks; recipes lie in ascending id order. The Merkle
+root of a recipe stands for its document, each recipe partition has the root of its documents' roots, and the
+dataset has one root above all. Reading checks every level; what is missing or altered is an error.
 
-Layout below the folder: chunks/ (address, n, ids compressed), recipes/kind=0 (documents), recipes/kind=1
-(one row for each recipe partition: its root and totals)."""
+Layout below the folder: staged/kind=chunk (address, ids compressed), recipes/kind=0 (documents), recipes/kind=1
+(one row for each recipe partition: its root and totals), dataset (the root above, partitions, ids)."""
 
 from __future__ import annotations
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -62,11 +64,22 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def _leaves(addresses: list[bytes], sizes: bytes) -> list[bytes]:
+    """The leaves of a recipe: address and length of each chunk."""
+    return [x + sizes[4 * k : 4 * k + 4] for k, x in enumerate(addresses)]
+
+
+def _split(blob: bytes) -> list[bytes]:
+    return [blob[i : i + 32] for i in range(0, len(blob), 32)]
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text_column: str = "text") -> None:
     """Encode the texts, append end_id to each, and write the store. Null and empty texts hold the end id
-    only; null ids come first; repeated rows each have a recipe."""
+    only, very long ones are many chunks; null ids come first; repeated rows each have a recipe; extra columns
+    are ignored."""
     spark = docs.sparkSession
     kind = docs.schema[id_column].dataType.simpleString()
+    names = ["key", "data", "sizes", "id", "n"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, table = encoder(tokenizer)
@@ -88,45 +101,50 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
                     if address not in seen:
                         seen.add(address)
                         fresh.append(c)
-                if len(seen) > 2_000_000:
+                if len(seen) > 200_000:  # spares the shuffle most copies; the rest meet behind it
                     seen.clear()
                 small = full.astype("<u2") if int(full.max(initial=0)) < 65536 else full.astype("<u4")
                 data = [pack(bytes([small.itemsize]) + small[first[c] : last[c]].tobytes()) for c in fresh]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([addresses[c] for c in fresh], pa.binary()), pa.array(data, pa.binary()),
-                        pa.nulls(len(fresh), batch.column("id").type), pa.array(last[fresh] - first[fresh], pa.int64()), pa.nulls(len(fresh), pa.list_(pa.binary())),
+                        pa.array([addresses[c] for c in fresh], pa.binary()), pa.array(data, pa.binary()), pa.nulls(len(fresh), pa.binary()),
+                        pa.nulls(len(fresh), batch.column("id").type), pa.array(last[fresh] - first[fresh], pa.int64()),
                     ],
-                    ["key", "data", "id", "n", "chunks"],
+                    names,
                 )
                 upto = np.searchsorted(first, [*starts.tolist(), len(full)]).tolist()
-                lists = [addresses[a:b] for a, b in zip(upto, upto[1:])]
+                length = (last - first).astype("<u4").tobytes()
+                lists = [(addresses[a:b], length[4 * a : 4 * b]) for a, b in zip(upto, upto[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([merkle(x) for x in lists], pa.binary()), pa.nulls(n, pa.binary()), batch.column("id"), pa.array(np.diff([*starts, len(full)]), pa.int64()), pa.array(lists, pa.list_(pa.binary()))],
-                    ["key", "data", "id", "n", "chunks"],
-                )
+                    [
+                        pa.array([merkle(_leaves(*x)) for x in lists], pa.binary()), pa.array([b"".join(x) for x, _ in lists], pa.binary()), pa.array([x for _, x in lists], pa.binary()),
+                        batch.column("id"), pa.array(np.diff([*starts, len(full)]), pa.int64()),
+                    ],
+                    names,
+                )
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        """Rows come in the order of their keys; of chunks with the same the first stays."""
+        last = None
         for batch in batches:
-            keep = []
-            for key, data in zip(batch.column("key").to_pylist(), batch.column("chunks").is_null().to_pylist()):
-                keep.append(not data or key not in seen)
-                if data:
-                    seen.add(key)
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    row = f"key binary, data binary, id {kind}, n long, chunks array<binary>"
+            if batch.num_rows:
+                key, chunk = batch.column("key"), batch.column("sizes").is_null()
+                before = pa.concat_arrays([pa.array([last], pa.binary()), key.slice(0, batch.num_rows - 1)])
+                again = pc.fill_null(pc.equal(key, before), False)
+                last = key[-1].as_py() if chunk[-1].as_py() else None
+                yield batch.filter(pc.invert(pc.and_(again, chunk)))
+
+    row = f"key binary, data binary, sizes binary, id {kind}, n long"
     given = docs.select(docs[id_column].alias("id"), text_of(docs[text_column]).alias("text"))
     #: Chunks meet by address; a recipe goes by its root and a salt, since many documents may share a root.
     encoded = given.mapInArrow(encode, row)
-    dealt = encoded.repartition(F.col("key"), F.when(F.col("data").isNull(), F.xxhash64("id")))
-    staged = dealt.mapInArrow(once, row).withColumn("kind", F.when(F.col("data").isNull(), "recipe").otherwise("chunk"))
+    dealt = encoded.repartition(F.col("key"), F.when(F.col("sizes").isNotNull(), F.xxhash64("id"))).sortWithinPartitions(F.col("sizes").isNull(), "key")
+    staged = dealt.mapInArrow(once, row).withColumn("kind", F.when(F.col("sizes").isNotNull(), "recipe").otherwise("chunk"))
     staged.write.mode("overwrite").option("compression", "none").partitionBy("kind").parquet(f"{folder}/staged")
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, roots, level = TaskContext.get().partitionId(), 0, [], None
-        names = ["part", "start", "id", "n", "root", "chunks", "kind"]
+        columns = ["part", "start", "id", "n", "root", "chunks", "sizes", "kind"]
         for batch in batches:
             n = batch.column("n").to_numpy()
             roots += [hashlib.sha256(x).digest() for x in batch.column("key").to_pylist()]
@@ -134,14 +152,17 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_co
             begin = at + np.cumsum(n) - n
             at += int(n.sum())
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part)), pa.array(begin), batch.column("id"), batch.column("n"), batch.column("key"), batch.column("chunks"), pa.array(np.zeros(k, np.int32))], names)
-        if level is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([0]), pa.nulls(1, level), pa.array([at]), pa.array([merkle(roots)], pa.binary()), pa.nulls(1, pa.list_(pa.binary())), pa.array([1], pa.int32())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, part)), pa.array(begin), *(batch.column(c) for c in ("id", "n", "key", "data", "sizes")), pa.array(np.zeros(k, np.int32))], columns)
+        if roots:
+            blank = pa.nulls(1, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([0]), pa.nulls(1, level), pa.array([at]), pa.array([merkle(roots)], pa.binary()), blank, blank, pa.array([1], pa.int32())], columns)
 
     recipes = spark.read.schema(row).parquet(f"{folder}/staged/kind=recipe") if _exists(spark, f"{folder}/staged/kind=recipe") else spark.createDataFrame([], row)
-    ordered = recipes.select("id", "key", "n", "chunks").repartitionByRange("id").sortWithinPartitions("id", "key")
-    schema = f"part long, start long, id {kind}, n long, root binary, chunks array<binary>, kind int"
+    ordered = recipes.select("id", "key", "n", "data", "sizes").repartitionByRange("id").sortWithinPartitions("id", "key")
+    schema = f"part long, start long, id {kind}, n long, root binary, chunks binary, sizes binary, kind int"
     ordered.mapInArrow(order, schema).write.mode("overwrite").partitionBy("kind").parquet(f"{folder}/recipes")
+    parts = manifest(spark, folder).orderBy("part").collect()
+    spark.createDataFrame([(bytearray.fromhex(_above(parts)), len(parts), sum(r["n"] for r in parts))], "root binary, parts long, n long").coalesce(1).write.mode("overwrite").parquet(f"{folder}/dataset")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -203,7 +224,7 @@ def _chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def _recipes(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     """Documents in order with the number of ids before each."""
-    names = f"part long, start long, id {kind}, n long, root binary, chunks array<binary>"
+    names = f"part long, start long, id {kind}, n long, root binary, chunks binary, sizes binary"
     if not _exists(spark, f"{folder}/recipes/kind=0"):
         return spark.createDataFrame([], names)
     rows = spark.read.schema(names).parquet(f"{folder}/recipes/kind=0")
@@ -214,48 +235,96 @@ def _recipes(spark: SparkSession, folder: str, kind: str) -> DataFrame:
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
     """part, n (ids), root of each recipe partition; there are as many as tasks wrote recipes."""
-    return spark.read.schema("part long, start long, n long, root binary").parquet(f"{folder}/recipes/kind=1").select("part", "n", "root")
+    schema = "part long, start long, n long, root binary"
+    where = f"{folder}/recipes/kind=1"
+    return (spark.read.schema(schema).parquet(where) if _exists(spark, where) else spark.createDataFrame([], schema)).select("part", "n", "root")
+
+
+def _above(parts: list) -> str:
+    """The root over those of all recipe partitions, in their order."""
+    return merkle([bytes(r["root"]) for r in parts]).hex()
 
 
 def dataset_root(spark: SparkSession, folder: str) -> str:
-    return merkle([bytes(r["root"]) for r in manifest(spark, folder).orderBy("part").toLocalIterator()]).hex()
+    return bytes(spark.read.schema("root binary, parts long, n long").parquet(f"{folder}/dataset").first()["root"]).hex()
+
+
+def check_manifest(spark: SparkSession, folder: str) -> None:
+    """Work out the roots of all recipe partitions and of the dataset again, and raise unless they are those that
+    were written. A row for each recipe partition comes to the driver."""
+
+    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, leaves, n = None, [], 0
+        done = lambda: pa.RecordBatch.from_pydict({"part": [part], "n": [n], "root": pa.array([merkle(leaves)], pa.binary())})
+        for batch in batches:
+            for p, size, root in zip(*(batch.column(c).to_pylist() for c in ("part", "n", "root"))):
+                if p != part and leaves:
+                    yield done()
+                    leaves, n = [], 0
+                part, n = p, n + size
+                leaves.append(hashlib.sha256(root).digest())
+        if leaves:
+            yield done()
+
+    kept = sorted(tuple(r) for r in manifest(spark, folder).collect())
+    found = []
+    if _exists(spark, f"{folder}/recipes/kind=0"):
+        rows = spark.read.schema("part long, start long, n long, root binary").parquet(f"{folder}/recipes/kind=0")
+        found = sorted(tuple(r) for r in rows.repartition("part").sortWithinPartitions("part", "start").select("part", "n", "root").mapInArrow(rooted, "part long, n long, root binary").collect())
+    if kept != found or merkle([bytes(root) for _, _, root in found]).hex() != dataset_root(spark, folder):
+        raise ValueError(f"the recipes below {folder} do not match their manifest")
+
+
+def _pieces(recipes: DataFrame) -> DataFrame:
+    """root, place, key, size, behind (ids after it) of each chunk of distinct recipes, which are held against
+    their roots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for root, chunks, sizes in zip(*(batch.column(c).to_pylist() for c in ("root", "chunks", "sizes"))):
+                keys, size = _split(chunks), np.frombuffer(sizes, "<u4").astype(np.int64)
+                if len(keys) != len(size) or merkle(_leaves(keys, sizes)) != root:
+                    raise ValueError(f"a recipe does not match its root {root.hex()}")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([root] * len(keys), pa.binary()), pa.array(np.arange(len(keys))), pa.array(keys, pa.binary()), pa.array(size), pa.array(np.cumsum(size[::-1])[::-1] - size)],
+                    ["root", "place", "key", "size", "behind"],
+                )
+
+    distinct = recipes.groupBy("root").agg(F.first("chunks").alias("chunks"), F.first("sizes").alias("sizes"))
+    return distinct.mapInArrow(run, "root binary, place long, key binary, size long, behind long")
+
+
+def _whole(pieces: DataFrame, chunk: DataFrame, value: str) -> DataFrame:
+    """The pieces with their chunk's value; a chunk that is missing, or not as long as its recipe says, is an error."""
+    bad = F.col(value).isNull() | (F.col("size") != F.col("found"))
+    said = F.raise_error(F.concat(F.lit("a missing or altered chunk: "), F.hex("key")))
+    return pieces.join(chunk, "key", "left").withColumn(value, F.when(bad, said).otherwise(F.col(value)))
 
 
 def verify(spark: SparkSession, folder: str, kind: str = "bigint") -> DataFrame:
     """id, start, n_tokens, ids_crc32 of each document, read from the files.
 
     Every chunk is read once, held against its address and reduced to its CRC-32; the CRC-32 of a document
-    follows from those of its recipe's chunks, so that ids are not shuffled. Recipes are held against their
-    roots. Documents with the same root are worked out once."""
+    follows from those of its recipe's chunks and what lies behind each, so that ids are not shuffled and a long
+    document is no group. Recipes, recipe partitions and the dataset are held against their roots. Documents with
+    the same root are worked out once. Anything missing or altered is an error."""
+    check_manifest(spark, folder)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [_unpacked(a, d) for a, d in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([zlib.crc32(x.tobytes()) for x in got], pa.int64()), pa.array(map(len, got), pa.int64())], ["key", "crc", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([zlib.crc32(x.tobytes()) for x in got], pa.int64()), pa.array(map(len, got), pa.int64())], ["key", "crc", "found"])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             crc, behind = batch.column("crc").to_numpy(), 4 * batch.column("behind").to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column("root"), pa.array(crc_before(crc, behind).astype(np.int64)), batch.column("size"), batch.column("at"), batch.column("key")], ["root", "crc", "size", "at", "key"])
-
-    def rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for root, chunks in zip(batch.column("root").to_pylist(), batch.column("chunks").to_pylist()):
-                if merkle(chunks) != root:
-                    raise ValueError(f"a recipe does not match its root {root.hex()}")
-            yield batch
+            yield pa.RecordBatch.from_arrays([batch.column("root"), pa.array(crc_before(crc, behind).astype(np.int64))], ["root", "crc"])
 
     recipes = _recipes(spark, folder, kind)
-    distinct = recipes.groupBy("root").agg(F.first("chunks").alias("chunks")).mapInArrow(rooted, "root binary, chunks array<binary>")
-    chunk = _chunks(spark, folder).select("key", "data").mapInArrow(check, "key binary, crc long, size long")
-    used = distinct.select("root", F.posexplode("chunks").alias("at", "key")).join(chunk, "key")
-    tail = Window.partitionBy("root").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
-    behind = used.withColumn("behind", F.coalesce(F.sum("size").over(tail), F.lit(0).cast("long")))
-    added = behind.select("root", "crc", "behind", "size", "at", "key").mapInArrow(combine, "root binary, crc long, size long, at int, key binary")
-    whole = added.groupBy("root").agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("size").alias("found"))
-    return recipes.select("id", "start", "n", "root").join(whole, "root").select(
-        "id", "start", F.when(F.col("n") == F.col("found"), F.col("n")).alias("n_tokens"), "ids_crc32"
-    )
+    chunk = _chunks(spark, folder).select("key", "data").mapInArrow(check, "key binary, crc long, found long")
+    added = _whole(_pieces(recipes), chunk, "crc").select("root", "crc", "behind").mapInArrow(combine, "root binary, crc long")
+    whole = added.groupBy("root").agg(F.bit_xor("crc").alias("ids_crc32"))
+    return recipes.select("id", "start", F.col("n").alias("n_tokens"), "root").join(whole, "root").select("id", "start", "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, folder: str, kind: str = "bigint") -> DataFrame:
@@ -264,12 +333,13 @@ def read_ids(spark: SparkSession, folder: str, kind: str = "bigint") -> DataFram
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [_unpacked(a, d).astype(np.int64) for a, d in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(got, pa.list_(pa.int64()))], ["key", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(got, pa.list_(pa.int64())), pa.array(map(len, got), pa.int64())], ["key", "ids", "found"])
 
+    check_manifest(spark, folder)
     recipes = _recipes(spark, folder, kind)
-    chunk = _chunks(spark, folder).select("key", "data").mapInArrow(unpack, "key binary, ids array<long>")
-    used = recipes.groupBy("root").agg(F.first("chunks").alias("chunks")).select("root", F.posexplode("chunks").alias("at", "key")).join(chunk, "key")
-    whole = used.groupBy("root").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("ids"))
+    chunk = _chunks(spark, folder).select("key", "data").mapInArrow(unpack, "key binary, ids array<long>, found long")
+    used = _whole(_pieces(recipes), chunk, "ids")
+    whole = used.groupBy("root").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x["ids"])).alias("ids"))
     return recipes.select("id", "start", "root").join(whole, "root").select("id", "start", "ids")
 
 

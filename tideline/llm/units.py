@@ -14,11 +14,11 @@ import pyarrow as pa
 
 from tideline.llm.flat import flat, hashes, ranges
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _wide_white_ends(data: np.ndarray) -> np.ndarray:
+def wide_white_ends(data: np.ndarray) -> np.ndarray:
     """Where a white space character of two or three bytes ends."""
     out = np.zeros(len(data), bool)
     for lead, tails in (
@@ -37,37 +37,46 @@ def _wide_white_ends(data: np.ndarray) -> np.ndarray:
 
 
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    white = _WHITE[data]
+    white = WHITE[data]
     first = white.copy()
-    first[1:] &= ~(white[:-1] | _wide_white_ends(data)[:-1])
+    first[1:] &= ~(white[:-1] | wide_white_ends(data)[:-1])
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
     return np.flatnonzero(first)
 
 
 class UnitTable:
-    """Token ids of units, by a pair of 64-bit hashes. make() gives the ids of new units, many at once, as
-    (number of ids of each, all ids).
-    Beyond `limit` units the table starts anew, so that it never grows with the data; units over `longest`
-    bytes are made each time."""
+    """Token ids of units, by a pair of 64-bit hashes. make(data, starts, lengths) gives the ids of new units, many
+    at once, as (number of ids of each, all ids).
+    Beyond `limit` units only those stay that have been met again since the last such time, so that the table
+    never grows with the data and rare units do not push out frequent ones; units over `longest` bytes are made
+    each time."""
 
-    def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, longest: int = 64):
+    def __init__(self, make: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], limit: int = 600_000, longest: int = 64):
         self.make, self.limit, self.longest = make, limit, longest
-        self.clear()
+        self._clear()
 
-    def clear(self) -> None:
+    def _clear(self) -> None:
         self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.met = np.zeros(0, bool)
         self.pool = np.zeros(0, np.int32)
 
+    def _make_room(self, more: int) -> None:
+        keep = np.flatnonzero(self.met)
+        if len(keep) + more > self.limit:
+            self._clear()
+            return
+        self.pool = self.pool[ranges(self.start[keep], self.size[keep])]
+        self.key, self.check, self.size = self.key[keep], self.check[keep], self.size[keep]
+        self.start = np.cumsum(self.size, dtype=np.int64) - self.size
+        self.met = np.zeros(len(keep), bool)
+
     def _made(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        text = [data[a : a + n].tobytes().decode("utf-8", "replace") for a, n in zip(starts.tolist(), lengths.tolist())]
-        size, ids = self.make(text) if text else (np.zeros(0), np.zeros(0))
+        size, ids = self.make(data, starts, lengths) if len(starts) else (np.zeros(0), np.zeros(0))
         return size.astype(np.int32), ids.astype(np.int32)
 
     def _learn(self, data, starts, lengths, key, check) -> None:
         """Units that are not yet in the table; key is sorted and has no repeats."""
-        if len(self.key) + len(key) > self.limit:
-            self.clear()
         sizes, pool = self._made(data, starts, lengths)
         begin = len(self.pool) + np.cumsum(sizes, dtype=np.int64) - sizes
         self.pool = np.concatenate([self.pool, pool])
@@ -77,6 +86,7 @@ class UnitTable:
         self.check = np.concatenate([self.check, check])[order]
         self.start = np.concatenate([self.start, begin])[order]
         self.size = np.concatenate([self.size, sizes])[order]
+        self.met = np.concatenate([self.met, np.zeros(len(key), bool)])[order]
 
     def _places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.key, key), max(0, len(self.key) - 1))
@@ -90,11 +100,12 @@ class UnitTable:
         short = lengths <= self.longest
         key, check = hashes(data, starts[short], lengths[short], (0, 1))
         unique, at, back = np.unique(key, return_index=True, return_inverse=True)
-        _, known = self._places(unique)
+        place, known = self._places(unique)
+        self.met[place[known]] = True
         if not known.all():
             if len(self.key) + int((~known).sum()) > self.limit:
-                self.clear()
-                known[:] = False
+                self._make_room(int((~known).sum()))
+                _, known = self._places(unique)
             new = at[~known]
             self._learn(data, starts[short][new], lengths[short][new], unique[~known], check[new])
         place, _ = self._places(unique)
