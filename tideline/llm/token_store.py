@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import shared_dir, text_of
+from tideline.llm.common import materialised, shared_dir, text_of
 from tideline.llm.flat import column_slices
 from tideline.llm.library_tokens import encoder
 
@@ -281,14 +281,20 @@ def _pieces(recipes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for root, chunks, sizes in zip(*(batch.column(c).to_pylist() for c in ("root", "chunks", "sizes"))):
-                keys, size = _split(chunks), np.frombuffer(sizes, "<u4").astype(np.int64)
-                if len(keys) != len(size) or merkle(_leaves(keys, sizes)) != root:
+            roots, keys, sizes, count = batch.column("root").to_pylist(), [], [], []
+            for root, chunks, size in zip(roots, batch.column("chunks").to_pylist(), batch.column("sizes").to_pylist()):
+                own = _split(chunks)
+                if 4 * len(own) != len(size) or merkle(_leaves(own, size)) != root:
                     raise ValueError(f"a recipe does not match its root {root.hex()}")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([root] * len(keys), pa.binary()), pa.array(np.arange(len(keys))), pa.array(keys, pa.binary()), pa.array(size), pa.array(np.cumsum(size[::-1])[::-1] - size)],
-                    ["root", "place", "key", "size", "behind"],
-                )
+                keys += own
+                sizes.append(size)
+                count.append(len(own))
+            size = np.frombuffer(b"".join(sizes), "<u4").astype(np.int64)
+            total, last = np.cumsum(size), np.cumsum(count, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("root").take(pa.array(np.repeat(np.arange(len(count)), count))), pa.array(np.arange(len(keys)) - np.repeat(last - count, count)), pa.array(keys, pa.binary()), pa.array(size), pa.array(np.repeat(total[last - 1], count) - total)],
+                ["root", "place", "key", "size", "behind"],
+            )
 
     distinct = recipes.groupBy("root").agg(F.first("chunks").alias("chunks"), F.first("sizes").alias("sizes"))
     return distinct.mapInArrow(run, "root binary, place long, key binary, size long, behind long")
@@ -323,8 +329,14 @@ def verify(spark: SparkSession, folder: str, kind: str = "bigint") -> DataFrame:
     recipes = _recipes(spark, folder, kind)
     chunk = _chunks(spark, folder).select("key", "data").mapInArrow(check, "key binary, crc long, found long")
     added = _whole(_pieces(recipes), chunk, "crc").select("root", "crc", "behind").mapInArrow(combine, "root binary, crc long")
-    whole = added.groupBy("root").agg(F.bit_xor("crc").alias("ids_crc32"))
-    return recipes.select("id", "start", F.col("n").alias("n_tokens"), "root").join(whole, "root").select("id", "start", "n_tokens", "ids_crc32")
+    whole = materialised(added.groupBy("root").agg(F.bit_xor("crc").alias("ids_crc32")), "token-roots")
+    rows = recipes.select("id", "start", F.col("n").alias("n_tokens"), "root")
+    #: Roots that more than a thousandth of all documents share are under a thousand: they need no shuffle.
+    shared = rows.groupBy("root").count().where(F.col("count") > rows.count() / 1000).select("root")
+    hot = materialised(whole.join(shared, "root"), "token-hot-roots")
+    often = rows.join(F.broadcast(hot), "root")
+    rest = rows.join(F.broadcast(hot.select("root")), "root", "left_anti").join(whole, "root")
+    return often.unionByName(rest).select("id", "start", "n_tokens", "ids_crc32")
 
 
 def read_ids(spark: SparkSession, folder: str, kind: str = "bigint") -> DataFrame:
