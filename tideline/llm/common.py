@@ -39,6 +39,27 @@ def materialised(df: DataFrame, name: str, into: str | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one job in the shared folder. Those that nothing reads any more can go before the job ends, and
+    with them the shuffle files behind them, which Spark keeps until the driver collects its garbage."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df as the table of this name; what had the name before goes once the new table is written."""
+        old, self.paths[name] = self.paths.get(name), shared_dir(self.spark, name)
+        out = materialised(df, name, self.paths[name])
+        if old:
+            delete(self.spark, old)
+        self.spark._jvm.System.gc()
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, self.paths.pop(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

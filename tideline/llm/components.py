@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialised
+from tideline.llm.common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,9 +19,10 @@ def _state(edges: DataFrame) -> tuple:
 
 def connected(links: DataFrame, name: str) -> DataFrame:
     """node, comp for each node of links (a, b longs): comp is the smallest node that is reachable. Loops and
-    repeated links count once; without links the result is empty."""
+    repeated links count once; without links the result is empty. A round's table replaces the one before."""
+    work = Scratch(links.sparkSession)
     ordered = links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialised(ordered, f"{name}-edges")
+    edges = work.keep(ordered, f"{name}-edges")
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -31,7 +32,7 @@ def connected(links: DataFrame, name: str) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         tied = large.join(low, "a")
         small = tied.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialised(small, f"{name}-edges")
+        edges = work.keep(small, f"{name}-edges")
         if (now := _state(edges)) == state:
             break
         state = now

@@ -8,7 +8,7 @@ that still lie in different components are compared in blocks of bounded size.
 A comparison reads the signatures batch by batch, first the banded values, then the further ones that only
 classes in shared buckets have. With a uniform prior, m agreements of n make the similarity
 Beta(m + 1, n - m + 1); a pair is dropped as soon as its chance to reach the threshold falls below `miss`.
-Pairs that survive are decided on their full sets. With 32 bands of 4 values a pair at similarity 0.8 shares
+Pairs that survive are decided on their full sets, which only they are joined with. With 32 bands of 4 values a pair at similarity 0.8 shares
 no bucket with a chance of 5e-8."""
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import materialised, text_of
+from tideline.llm.common import Scratch, text_of
 from tideline.llm.components import connected, relabelled
 from tideline.llm.flat import LOWER_TABLE, column_slices, flat, hashes, mix, runs
 
@@ -186,8 +186,31 @@ def _bucketed(classes: DataFrame) -> DataFrame:
     return classes.select("cid", "signature").mapInArrow(run, "band int, bucket long, cid long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> DataFrame:
-    """The pairs (a, b) of classes that are similar: first by their signatures, then by their full sets."""
+def _beside(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with columns of both classes."""
+    side = lambda x: rows.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in columns))
+    return pairs.join(side("b"), "b").join(side("a"), "a")
+
+
+def _kept(batch: pa.RecordBatch, alive: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(alive)) for c in "ab"], ["a", "b"])
+
+
+def _pruned(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
+    """The pairs (a, b) that the looks at the banded values do not drop."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
+            alive = np.flatnonzero(100 * np.minimum(*n) >= percent * np.maximum(*n))
+            left, right = ([_matrix(batch.column(f"signature_{x}"))[alive]] for x in "ab")
+            yield _kept(batch, alive[likely(left, right, percent / 100, miss)])
+
+    return _beside(pairs, classes, "n", "signature").mapInArrow(run, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are similar by their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -195,15 +218,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, miss: float) -> D
                 batch = whole.slice(at, 1000)
                 n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
                 alive = np.flatnonzero(100 * np.minimum(*n) >= percent * np.maximum(*n))
-                left, right = ([_matrix(batch.column(f"signature_{x}"))[alive], _wide(batch.column(f"wide_{x}"))[alive]] for x in "ab")
-                alive = alive[likely(left, right, percent / 100, miss)]
                 one, two = batch.column("shingles_a"), batch.column("shingles_b")
                 common = [len(np.intersect1d(np.frombuffer(one[k].as_py(), np.uint64), np.frombuffer(two[k].as_py(), np.uint64), assume_unique=True)) for k in alive.tolist()]
-                alive = alive[_similar(np.array(common, np.int64), n[0][alive], n[1][alive], percent)]
-                yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive))], ["a", "b"])
+                yield _kept(batch, alive[_similar(np.array(common, np.int64), n[0][alive], n[1][alive], percent)])
 
-    side = lambda x: sets.select(F.col("cid").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "signature", "wide", "shingles")))
-    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a long, b long")
+    return _beside(pairs, sets, "n", "shingles").mapInArrow(run, "a long, b long")
 
 
 def _survivors(members: DataFrame, percent: int, miss: float, best: bool) -> DataFrame:
@@ -307,35 +326,37 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     have an empty set and are linked with nothing. Rows with the same set are one class, however many they
     are. A null id is larger than any other: it is a component's id only where no row has one. Rows that
     share an id share its fate. Extra columns are ignored."""
-    rows = materialised(_signed(docs, id_column, text_column, words), "near-rows")
-    classes = materialised(
+    work = Scratch(docs.sparkSession)
+    rows = work.keep(_signed(docs, id_column, text_column, words), "near-rows")
+    classes = work.keep(
         rows.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
         .withColumn("cid", F.monotonically_increasing_id()),
         "near-classes",
     )
     places = _bucketed(classes)
     shared = places.groupBy("band", "bucket").agg(F.min("cid").alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = materialised(places.join(shared, ["band", "bucket"]), "near-members")
+    members = work.keep(places.join(shared, ["band", "bucket"]), "near-members")
 
     #: The full sets of classes that share a bucket, from the text of one of their rows.
     texts = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
     wanted = classes.join(members.select("cid").distinct(), "cid", "left_semi")
-    sets = materialised(_full_sets(texts, wanted, words), "near-sets")
+    sets = work.keep(_full_sets(texts, wanted, words), "near-sets")
 
     pairs = members.where("cid != pivot").select(F.col("pivot").alias("a"), F.col("cid").alias("b")).distinct()
-    links = materialised(_verified(pairs, sets, percent, miss), "near-links")
-    labels = connected(links, "near-first")
+    likely_ones = work.keep(_pruned(pairs, classes, percent, miss), "near-pairs")
+    labels = connected(work.keep(_verified(likely_ones, sets, percent), "near-links"), "near-first")
 
     #: First the likeliest pair of each two components, which joins most that belong together, then all others.
     for best in (True, False):
-        pairs = _survivors(_blocks(members, sets, labels, block, wide=not best), percent, miss, best).distinct()
-        more = materialised(_verified(pairs, sets, percent, miss), "near-more")
+        pairs = work.keep(_survivors(_blocks(members, sets, labels, block, wide=not best), percent, miss, best).distinct(), "near-pairs")
+        more = work.keep(_verified(pairs, sets, percent), "near-links")
         over = relabelled(relabelled(more, labels, "a", "x"), labels, "b", "y").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         merged = connected(over, "near-merged")
         moved = relabelled(labels.select("node", F.col("comp").alias("old")), merged, "old", "comp").select("node", "comp")
-        labels = materialised(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti").select("node", "comp")), "near-labels")
+        labels = work.keep(moved.unionByName(merged.join(labels.select("node"), "node", "left_anti").select("node", "comp")), "near-labels")
     final = relabelled(classes.select("cid", "key", "id"), labels, "cid", "comp")
-    final = materialised(final.select("cid", "key", "id", "comp"), "near-final")
+    final = work.keep(final.select("cid", "key", "id", "comp"), "near-final")
+    work.drop("near-members", "near-sets", "near-pairs", "near-links", "near-labels", "near-classes")
     ids = final.groupBy("comp").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("classes"))
     #: Components of one class need no row of their own.
     wide = ids.where("classes > 1").select("comp", "component_id")
