@@ -124,6 +124,10 @@ def test_scalars(spark):
     assert (row["b64"], row["future"], row["none"], row["cut"], row["part"]) == ("-__-", 0, None, "aé", "events_y2024_m01")
     assert (row["w4"], row["w400"], row["h"], row["h1"], tuple(row["n"]), row["m"], row["b16"]) == (8000, 60000, 400 + 1000 + 2000 + 3000, 100, ("r1", "2024|x"), "2023-12", "ab")
     assert row["u"][14] == "5" and len(row["u"]) == 36 and row["u"][19] in "89ab" and tuple(row["e"]) == ("e", "s")
+    long = spark.createDataFrame([("é" * 3000, ["f"] * 30), ("x", ["y" * 5000])], "t string, s array<string>").select(scalars.bounded_text("t").alias("t"), scalars.bounded_frames("s").alias("s")).collect()
+    assert long[0]["t"] == "é" * 2048 + "..." and len(long[0]["s"]) == 20 and long[1]["t"] == "x" and long[1]["s"] == ["y" * 4096 + "..."]
+    exact = spark.createDataFrame([('{"n":4.00000000001}',), ('{"n":4}',), ('{"n":4.0}',), ('{"n":9007199254740993}',)], "d string")
+    assert exact.where(jsonx.json_contains("d", ["n"], 4)).count() == 2 and exact.where(jsonx.json_contains("d", ["n"], 9007199254740992)).count() == 0
     assert scalars.days_of("30d") == 30 and scalars.duration_ms(2, "hours") == 7_200_000
     with pytest.raises(ValueError):
         scalars.days_of("30h")
@@ -189,6 +193,16 @@ def test_chains_of_hundreds_are_followed_to_their_ends(spark):
     assert one(added, "id", "run_id") == [("s1", name(300))] and one(outcome, "outcome") == [("delivered",)]
 
 
+def test_branches_lead_to_their_deepest_tip(spark):
+    link = {"b": "a", "c": "b", "z": "a", "p": "c", "q": "c", "x": "q", "y": "p", "w": "z", "l": "k", "m": "k"}
+    df = runs(spark, {"id": "a"}, {"id": "k"}, *({"id": i, "continued_from_run_id": f} for i, f in link.items()))
+    want = {"a": ("y", 4), "b": ("y", 3), "c": ("y", 2), "p": ("y", 1), "q": ("x", 1), "x": ("x", 0), "y": ("y", 0), "z": ("w", 1), "w": ("w", 0), "k": ("m", 1), "l": ("l", 0), "m": ("m", 0)}
+    assert {r["id"]: (r["tip_id"], r["depth"]) for r in graph.chain_tips(df).collect()} == want
+    assert one(graph.tip_of(df, "a"), "id") == [("y",)]
+    deep = runs(spark, *({"id": f"d{k:02}", "parent_run_id": f"d{k - 1:02}" if k else None} for k in range(40)))
+    assert max(r["depth"] for r in graph.ancestor_depth(deep).collect()) == 39
+
+
 def test_continuations_in_a_circle_are_an_error(spark):
     with pytest.raises(ValueError):
         graph.chain_tips(runs(spark, {"id": "a", "continued_from_run_id": "c"}, {"id": "b", "continued_from_run_id": "a"}, {"id": "c", "continued_from_run_id": "b"}, {"id": "d"}))
@@ -249,6 +263,8 @@ def test_insert_if_absent_and_append(spark):
     assert one(history.insert_if_absent(have, new, ["namespace", "workflow", "idempotency_key"], ["inserted_at", "run_id"]), "run_id") == [("r3",)]
     more = spark.createDataFrame([("r", None, "patched", "p", None, T(3)), ("q", None, "patched", "p", None, T(3))], TABLES["events"])
     assert one(history.append(events(spark, [("timer_started",), ("timer_fired",)]), more, ["inserted_at"]), "run_id", "seq") == [("q", 0), ("r", 2)]
+    mixed = spark.createDataFrame([("r", None, "patched", "p", None, T(3)), ("r", 2, "patched", "p", None, T(4)), ("r", None, "patched", "p", None, T(5))], TABLES["events"])
+    assert one(history.append(events(spark, [("timer_started",), ("timer_fired",)]), mixed, ["inserted_at"]), "inserted_at", "seq") == [(T(3), 3), (T(4), 2), (T(5), 4)]
     req = spark.createDataFrame([("q1", "n", "w", "v", "k1"), ("q2", "n", "w", "v", "k9"), ("q3", "n", "w", "v", "k9"), ("q4", "n", "w", "v", None)], "request_id string, namespace string, workflow string, version_hash string, idempotency_key string")
     made, ids = transitions.start_runs(runs(spark), have, req, NOW)
     by = dict(one(ids, "request_id", "run_id"))
@@ -278,16 +294,41 @@ def test_task_transitions(spark):
     assert one(out["tasks"], "state") == [("discarded",)] and one(out["events"], "event_type") == [("activity_failed",)]
     asked = spark.createDataFrame([("t", 1), ("t", 2), ("u", 1)], "id string, attempt long")
     assert one(transitions.claim_one(_task(spark, state="available", lease_owner=None), led, asked, NOW), "id", "attempt", "outcome") == [("t", 1, "claimed"), ("t", 2, "stale"), ("u", 1, "stale")]
-    assert one(tasks.context(_task(spark, run_id="gone"), led, NOW), "status") == [("orphaned",)]
-    assert transitions.fenced_write("run_lease_lost") == "requeue" and transitions.fenced_write("?") == "reraise"
+    claim = spark.createDataFrame([("t", "r", "w", 1)], "id string, run_id string, owner string, attempt long")
+    status = lambda runs_, **more: tasks.context(_task(spark, **more), runs_, claim).first()["status"]
+    assert status(led) == "active" and status(led, attempt=2) == status(led, lease_owner="x") == status(led, state="available") == status(led, run_id="s") == "lease_lost"
+    stuck, asked_, ended = ({"id": "r", "state": "stuck_unknown_version"}, {"id": "r", "cancel_requested_at": T(1)}, {"id": "r", "state": "completed"})
+    assert [status(runs(spark, r)) for r in (stuck, asked_, ended, {"id": "other"})] == ["cancelled"] * 4
+    assert {x: transitions.fenced_write(x) for x in ("lease_expired", "missing_expiry", "run_lease_lost", "lease_mismatch", "attempt_mismatch", "not_leased", "not_found", "run_mismatch", "run_not_found", "run_not_active", "?")} == {
+        "lease_expired": "requeue", "missing_expiry": "requeue", "run_lease_lost": "requeue", "lease_mismatch": "drop", "attempt_mismatch": "drop", "not_leased": "drop", "not_found": "drop", "run_mismatch": "drop",
+        "run_not_found": "discard", "run_not_active": "discard", "?": "reraise",
+    }
+
+
+def test_outcomes_are_fenced_and_stand_behind_their_task(spark):
+    led, done = runs(spark, {"id": "r"}), "id string, ok boolean, run_id string, lease_owner string, attempt long"
+    own = transitions.activity_outcomes(_task(spark, seq=4), spark.createDataFrame([("t", True, "r", "w", 1)], done), NOW, runs=led)
+    assert one(own["events"], "run_id", "seq", "event_type") == [("r", 5, "activity_completed")] and one(own["woken"], "id") == [("r",)] and own["refused"].count() == 0
+    late = transitions.activity_outcomes(_task(spark, attempt=2), spark.createDataFrame([("t", True, "r", "w", 1)], done), NOW, runs=led)
+    assert late["tasks"].count() == late["events"].count() == 0 and one(late["refused"], "reason") == [("attempt_mismatch",)]
+    ended = transitions.activity_outcomes(_task(spark), spark.createDataFrame([("t", True)], "id string, ok boolean"), NOW, runs=runs(spark, {"id": "r", "state": "cancelled"}))
+    assert ended["tasks"].count() == 0 and one(ended["refused"], "reason") == [("run_not_active",)]
 
 
 def test_manual_retry_and_classification(spark):
     snaps = spark.createDataFrame([("r", 5, 1, "v", "[]", T(1)), ("r", 1, 1, "v", "[]", T(1))], TABLES["snapshots"])
     asked = spark.createDataFrame([("t", "me", "why")], "id string, operator string, reason string")
-    out = transitions.manual_retry(runs(spark, {"id": "r", "state": "failed"}), _task(spark, state="discarded", seq=3), snaps, asked, NOW)
-    assert out["tasks"].first()["parent_task_id"] == "t" and one(out["runs"], "id", "state") == [("r", "suspended")] and one(out["dropped_snapshots"], "through_seq") == [(5,)]
-    assert one(transitions.manual_retry(runs(spark, {"id": "r", "state": "completed"}), _task(spark, state="discarded"), snaps, asked, NOW)["refused"], "refusal") == [("run_ended",)]
+    failed, past = runs(spark, {"id": "r", "state": "failed"}), [("side_effect",)] * 3 + [("activity_scheduled", "k"), ("activity_failed", "k")]
+    out = transitions.manual_retry(failed, _task(spark, state="dead_lettered", seq=3), events(spark, past), snaps, asked, NOW)
+    assert one(out["tasks"], "parent_task_id", "lineage_id", "seq", "attempt") == [("t", "t", 5, 1)] and one(out["runs"], "id", "state") == [("r", "suspended")] and one(out["dropped_snapshots"], "through_seq") == [(5,)]
+    assert one(out["events"], "seq", "command_id", "event_type") == [(5, "k", "activity_retry_scheduled")] and one(out["operations"], "action", "classification") == [("manual_retry", "retryable")] and out["refused"].count() == 0
+    why = lambda runs_=failed, past_=past, task=None, ask=asked: one(transitions.manual_retry(runs_, task or _task(spark, state="discarded", seq=3), events(spark, past_), snaps, ask, NOW)["refused"], "refusal")[0][0]
+    assert why(runs(spark, {"id": "r", "state": "completed"})) == why(runs(spark, {"id": "r"})) == "run_not_failed" and why(runs(spark)) == "run_not_found"
+    assert why(runs(spark, {"id": "r", "state": "failed", "parent_run_id": "p"})) == "child_run_retry_not_supported" and why(task=_task(spark)) == "not_discarded"
+    assert why(past_=[*past, ("side_effect",)]) == why(past_=[*past[:4], ("activity_completed", "k")]) == "failure_not_replay_tail"
+    assert why(past_=[*past[:3], ("compensation_scheduled", "k"), ("activity_failed", "k")]) == "compensation_retry_not_supported"
+    assert why(task=_task(spark, state="discarded", seq=3).unionByName(_task(spark, id="u", parent_task_id="t"))) == "already_retried"
+    assert why(ask=spark.createDataFrame([("gone", "me", "why")], "id string, operator string, reason string")) == "activity_task_not_found"
     ops = spark.createDataFrame([("1", "t", "L", "classify", "a", "x", "y", T(1)), ("2", "t", "L", "classify", None, "x", "y", T(3)), ("3", "t", "L", "classify", "b", "x", "y", T(2))], TABLES["operations"])
     assert one(tasks.latest_classification(ops), "classification") == [("b",)]
     ask = spark.createDataFrame([("t", "dead_letter", "poison", "me")], "id string, action string, classification string, operator string")
@@ -361,7 +402,13 @@ def test_replay(spark):
     assert one(folds.patch_decisions(uses, events(spark, [("patched", "p")])), "patch_name", "value") == [("p", True), ("q", False)]
     batch = events(spark, [("compensation_scheduled", "a"), ("compensation_scheduled", "b"), ("compensation_failed", "b"), ("compensation_completed", "a")])
     assert one(folds.parallel_batches(batch), "scheduled", "finished", "complete") == [(2, 2, True)]
-    assert one(folds.compensation_order(events(spark, [*PAIR, ("activity_completed", "d"), ("activity_completed", "e"), ("compensation_completed", "d")])), "seq", "place") == [(1, 1), (3, 0)]
+    told = lambda k, kind, command, payload=None: ("r", k, kind, command, payload, T(1))
+    undo = '{"compensate":"undo"}'
+    past = [told(0, "activity_scheduled", "a", undo), told(1, "activity_completed", "a"), told(2, "activity_scheduled", "b"), told(3, "activity_completed", "b"), told(4, "activity_scheduled", "c", undo), told(5, "activity_completed", "c")]
+    past += [told(6, "activity_scheduled", "d", undo), told(7, "activity_completed", "d"), told(8, "compensation_scheduled", "x"), told(9, "compensation_failed", "x", '{"target_activity_id":"d"}'), told(10, "activity_scheduled", "e", undo), told(11, "activity_failed", "e")]
+    assert one(folds.compensation_order(spark.createDataFrame(past, TABLES["events"])), "seq", "place") == [(1, 1), (5, 0)]
+    calls = spark.createDataFrame([("r", 0, "f:1"), ("r", 2, "f:2"), ("r", 4, "f:1"), ("s", 0, "f:1")], "run_id string, seq long, base string")
+    assert one(folds.command_ordinals(calls), "run_id", "seq", "ordinal") == [("r", 0, 0), ("r", 2, 0), ("r", 4, 1), ("s", 0, 0)]
     assert folds.same_histories(h, h).count() == 0 and folds.same_histories(h, batch).count() > 0
     assert one(folds.covered(h, spark.createDataFrame([("r", 0)], "run_id string, through_seq long")), "seq", "compacted") == [(0, True), (1, False)]
 

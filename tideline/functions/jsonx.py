@@ -61,8 +61,10 @@ def json_contains(document: str | Column, keys: Sequence[str], value: object) ->
         found = (kind == "STRING") & (F.try_variant_get(at, "$", "string") == F.lit(value))
     else:
         number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
-        target = "decimal(38,10)" if isinstance(value, int) and abs(value) < 10**27 else "double"
-        found = number & (F.try_variant_get(at, "$", target) == F.lit(value).cast(target))
+        found = number & (F.try_variant_get(at, "$", "double") == F.lit(float(value)))
+        if isinstance(value, int) and abs(value) < 10**27:
+            #: A double alone takes large integers for their neighbours, a decimal alone rounds small differences off.
+            found = found & (F.try_variant_get(at, "$", "decimal(38,10)") == F.lit(str(value)).cast("decimal(38,10)"))
     return F.coalesce(found, F.lit(False))
 
 

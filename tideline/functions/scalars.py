@@ -111,6 +111,16 @@ def bounded_error(error: str | Column, most: int = 64 * 1024) -> Column:
     return prefix_bytes(error, most)
 
 
+def bounded_text(text: str | Column, most: int = 4096) -> Column:
+    """A text of at most `most` bytes as it is, a longer one cut there with three dots behind."""
+    return F.when(F.octet_length(col(text)) <= most, col(text)).otherwise(F.concat(prefix_bytes(text, most), F.lit("...")))
+
+
+def bounded_frames(frames: str | Column, most: int = 20, most_bytes: int = 4096) -> Column:
+    """The first frames of a stack trace (an array of texts), each bounded."""
+    return F.transform(F.slice(col(frames), 1, most), lambda x: bounded_text(x, most_bytes))
+
+
 def backoff_ms(attempt: str | Column, base_ms: int = 1000, cap_ms: int = 60_000, strategy: str = "exponential") -> Column:
     """Wait before the next attempt, without jitter."""
     if strategy == "constant":

@@ -172,17 +172,21 @@ def pending_effects(events: DataFrame) -> DataFrame:
     return last.where(F.col("event_type").isin(*PAIRS)).withColumn("reason", reason)
 
 
-def command_ordinals(events: DataFrame) -> DataFrame:
-    """run_id, seq, command_id, ordinal: the number of earlier openers and single events of the same kind."""
-    base = F.row_number().over(Window.partitionBy("run_id", "event_type").orderBy("seq"))
-    return events.where(F.col("event_type").isin(*PAIRS, *SINGLE)).select("run_id", "seq", "event_type", (base - 1).cast("long").alias("ordinal"))
+def command_ordinals(commands: DataFrame) -> DataFrame:
+    """commands (run_id, seq, base) with ordinal: how many earlier commands of the run have the same base, that is,
+    come from the same place of the program with the same arguments."""
+    place = F.row_number().over(Window.partitionBy("run_id", "base").orderBy("seq"))
+    return commands.select("run_id", "seq", "base", (place - 1).cast("long").alias("ordinal"))
 
 
 def compensation_order(events: DataFrame) -> DataFrame:
-    """run_id, seq, place of completed activities that are yet to be compensated: the last success first. What
-    a compensation_completed or _failed with the same command names is done."""
-    done = events.where("event_type IN ('compensation_completed', 'compensation_failed')").select("run_id", "command_id")
-    left = events.where("event_type = 'activity_completed'").join(done, ["run_id", "command_id"], "left_anti")
+    """run_id, seq, place of completed activities that are yet to be compensated: the last success first. Only
+    those are that were scheduled with a compensation (payload: compensate); a compensation that ended, well or
+    not, names its activity (payload: target_activity_id), as it is a command of its own."""
+    value = lambda key: F.get_json_object("payload", f"$.{key}")
+    able = events.where(F.col("event_type") == "activity_scheduled").where(F.coalesce(value("compensate"), F.lit("none")) != "none").select("run_id", "command_id").distinct()
+    done = events.where("event_type IN ('compensation_completed', 'compensation_failed')").select("run_id", value("target_activity_id").alias("command_id"))
+    left = events.where("event_type = 'activity_completed'").join(able, ["run_id", "command_id"], "left_semi").join(done, ["run_id", "command_id"], "left_anti")
     return left.select("run_id", "seq", (F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("seq"))) - 1).cast("long").alias("place"))
 
 

@@ -1,8 +1,8 @@
 """Chains of continued runs and trees of child runs.
 
 Whole-table traversals double the length of the paths they know in each round (pointer jumping), so the number
-of joins follows the logarithm of the longest chain. Chains of continued runs are followed to their ends however
-long they are; depths of trees have the bounds that their callers give."""
+of joins follows the logarithm of the longest chain. Chains of continued runs and of parents are followed to
+their ends however long they are; descendants have the bound that the caller gives, and what it cuts is told."""
 
 from __future__ import annotations
 
@@ -13,18 +13,6 @@ from tideline.sources.schemas import TERMINAL
 from tideline.sources.store import delete, materialised
 
 
-def _jumped(pairs: DataFrame, most: int) -> DataFrame:
-    """node, at, depth: where each node's path of links (node, at) is after `most` links or more, and after how
-    many links."""
-    path = pairs.withColumn("depth", F.when(F.col("at") == F.col("node"), 0).otherwise(1).cast("long"))
-    reach = 1
-    while reach < most:
-        onward = path.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("depth").alias("more"))
-        path = path.join(onward, "at").select("node", F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"))
-        reach *= 2
-    return path
-
-
 def _followed(pairs: DataFrame) -> DataFrame:
     """node, at, depth: where each node's path of links (node, at) ends, and after how many links. Each round is
     written to the shared folder, and rounds go on until no path is open. Closed paths leave the join, so that
@@ -37,7 +25,7 @@ def _followed(pairs: DataFrame) -> DataFrame:
         nodes = path.count() if nodes is None else nodes
         if reach > nodes:
             delete(spark, where)
-            raise ValueError("continued runs form a cycle")
+            raise ValueError("runs form a cycle")
         onward = path.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("depth").alias("more"), F.col("ended").alias("over"))
         moved = path.where("NOT ended").join(onward, "at").select("node", F.col("far").alias("at"), (F.col("depth") + F.col("more")).alias("depth"), F.col("over").alias("ended"))
         longer, there = materialised(moved.unionByName(path.where("ended")), "chains")
@@ -48,10 +36,29 @@ def _followed(pairs: DataFrame) -> DataFrame:
 
 def chain_tips(runs: DataFrame) -> DataFrame:
     """id, tip_id, depth: the run that each run's continuations lead to, however many they are. Of several
-    successors the largest id counts. Continuations in a circle are an error."""
-    successor = runs.where("continued_from_run_id IS NOT NULL").groupBy("continued_from_run_id").agg(F.max("id").alias("next"))
-    linked = runs.select(F.col("id").alias("node")).join(successor.withColumnRenamed("continued_from_run_id", "node"), "node", "left")
-    return _followed(linked.select("node", F.coalesce("next", "node").alias("at"))).select(F.col("node").alias("id"), F.col("at").alias("tip_id"), "depth")
+    successors those count that lead deepest, of equally deep tips the largest id. Continuations in a circle
+    are an error.
+
+    Runs are first followed to where their chain ends or branches. Branches are decided from the deepest up, in
+    as many rounds as branches lie behind one another; without branches there is none."""
+    link = runs.where("continued_from_run_id IS NOT NULL").select(F.col("continued_from_run_id").alias("node"), F.col("id").alias("next"))
+    after = link.groupBy("node").agg(F.min("next").alias("next"), F.count(F.lit(1)).alias("n"))
+    linked = runs.select(F.col("id").alias("node")).join(after, "node", "left")
+    path = _followed(linked.select("node", F.when(F.col("n") == 1, F.col("next")).otherwise(F.col("node")).alias("at")))
+    forks = after.where("n > 1").select("node").join(runs.select(F.col("id").alias("node")), "node", "left_semi")
+    total = forks.count()
+    if total:
+        ways, _ = materialised(link.join(forks, "node").join(path.withColumnRenamed("node", "next"), "next").join(forks.select(F.col("node").alias("at"), F.lit(True).alias("fork")), "at", "left").select("node", "at", "depth", "fork"), "chain-forks")
+        decided, _ = materialised(forks.limit(0).select(F.col("node").alias("at"), F.lit(0).cast("long").alias("more"), F.col("node").alias("tip")), "chain-decided")
+        while (before := decided.count()) < total:
+            seen = ways.join(decided, "at", "left")
+            open_one = F.col("fork").isNotNull() & F.col("tip").isNull()
+            best = F.max(F.struct((F.col("depth") + 1 + F.coalesce("more", F.lit(0))).alias("more"), F.coalesce("tip", "at").alias("tip"))).alias("best")
+            decided, _ = materialised(seen.groupBy("node").agg(F.bool_or(open_one).alias("open"), best).where("NOT open").select(F.col("node").alias("at"), "best.more", "best.tip"), "chain-decided")
+            if decided.count() == before:
+                raise ValueError("runs form a cycle")
+        path = path.join(decided, "at", "left").select("node", F.coalesce("tip", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+    return path.select(F.col("node").alias("id"), F.col("at").alias("tip_id"), "depth")
 
 
 def tip_of(runs: DataFrame, run_id: str) -> DataFrame:
@@ -69,11 +76,11 @@ def group_tips(runs: DataFrame) -> DataFrame:
     return runs.join(runs.select(F.col("continued_from_run_id").alias("id")), "id", "left_anti").where("correlation_id IS NOT NULL").select("correlation_id", "id")
 
 
-def ancestor_depth(runs: DataFrame, most: int = 16) -> DataFrame:
-    """id, depth: how many parents are above each run, `most` at most."""
+def ancestor_depth(runs: DataFrame) -> DataFrame:
+    """id, depth: how many parents are above each run, however many they are; parents in a circle are an error."""
     parent = runs.select(F.col("id").alias("node"), "parent_run_id").join(runs.select(F.col("id").alias("parent_run_id"), F.lit(True).alias("there")), "parent_run_id", "left")
     links = parent.select("node", F.when(F.col("there"), F.col("parent_run_id")).otherwise(F.col("node")).alias("at"))
-    return _jumped(links, most).select(F.col("node").alias("id"), F.least("depth", F.lit(most).cast("long")).alias("depth"))
+    return _followed(links).select(F.col("node").alias("id"), "depth")
 
 
 def descendants(runs: DataFrame, roots: DataFrame, most: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.scalars import col  # noqa: F401
-
 
 def history(events: DataFrame, run_id: str, after_seq: int | None = None) -> DataFrame:
     """Events of one run in order, after a sequence number if one is given."""
@@ -55,11 +53,14 @@ def next_seq(events: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def append(events: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
-    """The new rows with numbers: given ones stay, the others follow their run's largest in the given order."""
+    """The new rows with numbers: given ones stay, the others follow the largest that their run has, in the
+    history or among the given ones, in the given order."""
     largest = events.groupBy("run_id").agg(F.max("seq").alias("_last"))
-    numbered = new.join(largest, "run_id", "left")
-    place = F.row_number().over(Window.partitionBy("run_id").orderBy(F.col("seq").isNotNull(), *order))
-    return numbered.withColumn("seq", F.coalesce("seq", F.coalesce("_last", F.lit(-1)) + place)).drop("_last")
+    given = new.groupBy("run_id").agg(F.max("seq").alias("_given"))
+    numbered = new.join(largest, "run_id", "left").join(given, "run_id", "left")
+    place = F.row_number().over(Window.partitionBy("run_id", F.col("seq").isNull()).orderBy(*order))
+    last = F.greatest(F.coalesce("_last", F.lit(-1)), F.coalesce("_given", F.lit(-1)))
+    return numbered.withColumn("seq", F.coalesce("seq", last + place)).drop("_last", "_given")
 
 
 def sequenced(events: DataFrame, order: list[str]) -> DataFrame:

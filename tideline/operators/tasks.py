@@ -77,8 +77,11 @@ def latest_classification(operations: DataFrame) -> DataFrame:
     return operations.where("classification IS NOT NULL").groupBy("lineage_id").agg(F.max_by("classification", F.struct("inserted_at", "id")).alias("classification"))
 
 
-def context(tasks: DataFrame, runs: DataFrame, as_of: str) -> DataFrame:
-    """id, status of leased tasks: active, cancelled, lost (the lease is over) or orphaned (no run)."""
-    owner = runs.select(F.col("id").alias("run_id"), F.col("state").alias("run_state"))
-    status = F.when(F.col("run_state").isNull(), "orphaned").when(F.col("run_state") == "cancelled", "cancelled").when(F.col("lease_expires_at") <= moment(as_of), "lost").otherwise("active")
-    return tasks.where("state = 'leased'").join(owner, "run_id", "left").select("id", "run_id", status.alias("status"))
+def context(tasks: DataFrame, runs: DataFrame, claims: DataFrame) -> DataFrame:
+    """claims (id, run_id, owner, attempt) with a status: active; cancelled (the task is still theirs, but its run
+    has ended, is gone or is asked to cancel); lease_lost (the task is not, or no longer, theirs)."""
+    asked = F.col("cancel_requested_at").isNotNull() if "cancel_requested_at" in runs.columns else F.lit(False)
+    live = runs.where(F.col("state").isin(*ACTIVE) & ~asked).select(F.col("id").alias("run_id"), F.lit(True).alias("_live"))
+    held = tasks.where("state = 'leased'").select("id", "run_id", F.col("lease_owner").alias("owner"), "attempt", F.lit(True).alias("_held"))
+    status = F.when(F.col("_held").isNull(), "lease_lost").when(F.col("_live"), "active").otherwise("cancelled")
+    return claims.join(held, ["id", "run_id", "owner", "attempt"], "left").join(live, "run_id", "left").select("id", "run_id", status.alias("status"))

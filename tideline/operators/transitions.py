@@ -119,7 +119,7 @@ def continue_as_new(runs: DataFrame, signals: DataFrame, requests: DataFrame, as
 def start_children(runs: DataFrame, requests: DataFrame, as_of: str, most_depth: int = 10) -> DataFrame:
     """requests (parent_run_id, command_id, workflow, version_hash): children with the parent's namespace and
     attributes, or an error where they would lie too deep."""
-    depth = graph.ancestor_depth(runs, most_depth + 1).withColumnRenamed("id", "parent_run_id")
+    depth = graph.ancestor_depth(runs).withColumnRenamed("id", "parent_run_id")
     parent = runs.select(F.col("id").alias("parent_run_id"), "namespace", "attributes")
     out = requests.join(parent, "parent_run_id").join(depth, "parent_run_id")
     deep = F.col("depth") + 1 > most_depth
@@ -188,15 +188,43 @@ def task_lease_errors(tasks: DataFrame, writes: DataFrame, as_of: str) -> DataFr
     return j.select("id", "run_id", "lease_owner", "attempt", reason.alias("reason"))
 
 
+#: What a worker does after a refused write. Requeued: the task is still its own, or the run has a new leader that
+#: needs it. Dropped: the task is somebody else's. Discarded: there is no run that could take the result.
+FENCED = {
+    "lease_expired": "requeue", "missing_expiry": "requeue", "run_lease_lost": "requeue",
+    "lease_mismatch": "drop", "attempt_mismatch": "drop", "not_leased": "drop", "not_found": "drop", "run_mismatch": "drop",
+    "run_not_found": "discard", "run_not_active": "discard",
+}
+
+
 def fenced_write(error: str) -> str:
-    """What a worker does after a refused write: requeue, discard, drop or reraise."""
-    return {"run_lease_lost": "requeue", "run_not_active": "discard", "not_found": "drop", "not_leased": "drop", "lease_mismatch": "drop", "attempt_mismatch": "drop", "lease_expired": "drop", "missing_expiry": "drop", "run_mismatch": "drop"}.get(error, "reraise")
+    """requeue, discard, drop or, for any other error, reraise."""
+    return FENCED.get(error, "reraise")
+
+
+def fenced_writes(errors: DataFrame) -> DataFrame:
+    """Refused writes (reason) with their action."""
+    known = F.create_map(*[F.lit(x) for pair in FENCED.items() for x in pair])
+    return errors.where("reason IS NOT NULL").withColumn("action", F.coalesce(known[F.col("reason")], F.lit("reraise")))
 
 
-def activity_outcomes(tasks: DataFrame, outcomes: DataFrame, as_of: str, most_attempts: int = 3, base_ms: int = 1000, cap_ms: int = 60_000) -> dict[str, DataFrame]:
-    """outcomes (id, ok): tasks (their new state, attempt and time), attempts (the log) and events (appended to
-    the history where the activity ended)."""
+def activity_outcomes(tasks: DataFrame, outcomes: DataFrame, as_of: str, most_attempts: int = 3, base_ms: int = 1000, cap_ms: int = 60_000, runs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """outcomes (id, ok): tasks (their new state, attempt and time), attempts (the log), events (right behind the
+    task's own, where the activity ended) and woken (runs to go on with).
+
+    Outcomes may also say run_id, lease_owner and attempt: those whose lease the task does not bear out are
+    refused. With runs, so are those of tasks whose run is gone or has ended."""
     j = tasks.where("state = 'leased'").join(outcomes.select("id", "ok"), "id")
+    refused = None
+    if {"run_id", "lease_owner", "attempt"} <= set(outcomes.columns):
+        refused = task_lease_errors(tasks, outcomes, as_of).where("reason IS NOT NULL").select("id", "reason")
+    if runs is not None:
+        state = runs.select(F.col("id").alias("run_id"), F.col("state").alias("_run"))
+        reason = F.when(F.col("_run").isNull(), "run_not_found").when(~F.col("_run").isin(*ACTIVE), "run_not_active")
+        ended = tasks.join(outcomes.select("id"), "id", "left_semi").join(state, "run_id", "left").select("id", reason.alias("reason")).where("reason IS NOT NULL")
+        refused = ended if refused is None else refused.unionByName(ended.join(refused, "id", "left_anti"))
+    if refused is not None:
+        j = j.join(refused, "id", "left_anti")
     again = ~F.col("ok") & (F.col("attempt") < most_attempts)
     state = F.when(F.col("ok"), "completed").when(again, "available").otherwise("discarded")
     changed = j.select(
@@ -204,8 +232,11 @@ def activity_outcomes(tasks: DataFrame, outcomes: DataFrame, as_of: str, most_at
         F.when(again, after(moment(as_of), backoff_ms("attempt", base_ms, cap_ms))).otherwise(F.col("available_at")).alias("available_at"),
     )
     log = j.select(F.col("id").alias("task_id"), F.coalesce("lineage_id", "id").alias("lineage_id"), "attempt", F.when(F.col("ok"), "completed").when(again, "retrying").otherwise("discarded").alias("outcome"))
-    ended = j.where(~again).select("run_id", F.lit(None).cast("long").alias("seq"), F.when(F.col("ok"), "activity_completed").otherwise("activity_failed").alias("event_type"), moment(as_of).alias("inserted_at"))
-    return {"tasks": changed, "attempts": log, "events": ended}
+    over = j.where(~again)
+    written = over.select("run_id", (F.col("seq") + 1).alias("seq"), F.when(F.col("ok"), "activity_completed").otherwise("activity_failed").alias("event_type"), moment(as_of).alias("inserted_at"))
+    woken = over.select(F.col("run_id").alias("id"), moment(as_of).alias("next_wakeup_at")).distinct()
+    none = tasks.select("id", F.lit(None).cast("string").alias("reason")).limit(0)
+    return {"tasks": changed, "attempts": log, "events": written, "woken": woken, "refused": none if refused is None else refused}
 
 
 def heartbeat(tasks: DataFrame, runs: DataFrame, beats: DataFrame, as_of: str, ttl_ms: int = 30_000) -> DataFrame:
@@ -216,20 +247,38 @@ def heartbeat(tasks: DataFrame, runs: DataFrame, beats: DataFrame, as_of: str, t
     return mine.join(led, "run_id", "left_semi").select("id", "run_id", now.alias("last_heartbeat_at"), after(now, ttl_ms).alias("lease_expires_at"))
 
 
-def manual_retry(runs: DataFrame, tasks: DataFrame, snapshots: DataFrame, requests: DataFrame, as_of: str) -> dict[str, DataFrame]:
-    """requests (id, operator, reason) on discarded activities of failed or active runs: a successor task, the
-    retry event, the reopened run; snapshots that cover the activity go."""
-    owner = runs.select(F.col("id").alias("run_id"), F.col("state").alias("run_state"))
-    newest = tasks.groupBy(F.coalesce("lineage_id", "id").alias("lineage")).agg(F.max_by("id", F.struct("scheduled_at", "id")).alias("_newest"))
-    j = tasks.join(requests.select("id", "operator", "reason"), "id").withColumn("lineage", F.coalesce("lineage_id", "id")).join(newest, "lineage").join(owner, "run_id", "left")
-    refusal = F.when(F.col("run_state").isNull(), "run_missing").when(~F.col("run_state").isin("failed", *ACTIVE), "run_ended").when(~F.col("state").isin("discarded"), "not_discarded").when(F.col("_newest") != F.col("id"), "superseded")
-    j = j.withColumn("refusal", refusal)
-    ok = j.where("refusal IS NULL")
-    created = ok.select(derived_id(F.lit("retry"), "id").alias("id"), "run_id", F.col("lineage").alias("lineage_id"), F.col("id").alias("parent_task_id"), "seq", F.lit("available").alias("state"), "queue", "priority", F.lit(1).cast("long").alias("attempt"), moment(as_of).alias("scheduled_at"))
-    events = ok.select("run_id", F.lit("activity_retry_scheduled").alias("event_type"), "operator", "reason", F.col("id").alias("parent_task_id"))
-    reopened = ok.where("run_state = 'failed'").select(F.col("run_id").alias("id"), F.lit("suspended").alias("state")).distinct()
-    covering = snapshots.join(ok.groupBy("run_id").agg(F.min("seq").alias("_from")), "run_id").where(F.col("through_seq") >= F.col("_from")).select("run_id", "through_seq")
-    return {"tasks": created, "events": events, "runs": reopened, "dropped_snapshots": covering, "refused": j.where("refusal IS NOT NULL").select("id", "refusal")}
+def manual_retry(runs: DataFrame, tasks: DataFrame, events: DataFrame, snapshots: DataFrame, requests: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """requests (id, operator, reason) on discarded or dead-lettered activities whose failure is the last event of a
+    failed run: a successor task, the retry event, the operation and the reopened run; snapshots that reach
+    the activity go. Refused: activity_task_not_found, not_discarded, already_retried, run_not_found,
+    run_not_failed, child_run_retry_not_supported, failure_not_replay_tail, compensation_retry_not_supported."""
+    asked = requests.groupBy("id").agg(F.min(F.struct("operator", "reason")).alias("_r")).select("id", "_r.*")
+    mine = tasks.join(asked.select("id"), "id", "left_semi")
+    touched = events.join(mine.select("run_id").distinct(), "run_id", "left_semi")
+    owner = runs.select(F.col("id").alias("run_id"), F.col("state").alias("_run"), F.col("parent_run_id").alias("_parent"), F.lit(True).alias("_known"))
+    tail = touched.groupBy("run_id").agg(F.max(F.struct("seq", "event_type")).alias("_tail"))
+    opener = touched.select("run_id", "seq", F.col("event_type").alias("_opener"), F.col("command_id").alias("_command"))
+    successor = tasks.where("parent_task_id IS NOT NULL").select(F.col("parent_task_id").alias("id"), F.lit(True).alias("_retried")).distinct()
+    j = mine.join(successor, "id", "left").join(owner, "run_id", "left").join(tail, "run_id", "left").join(opener, ["run_id", "seq"], "left")
+    at_tail = F.coalesce((F.col("_tail.seq") == F.col("seq") + 1) & (F.col("_tail.event_type") == "activity_failed"), F.lit(False))
+    refusal = (
+        F.when(~F.col("state").isin("discarded", "dead_lettered"), "not_discarded").when(F.col("_retried"), "already_retried")
+        .when(F.col("_known").isNull(), "run_not_found").when(F.col("_run") != "failed", "run_not_failed").when(F.col("_parent").isNotNull(), "child_run_retry_not_supported")
+        .when(~at_tail, "failure_not_replay_tail").when(F.col("_opener") == "compensation_scheduled", "compensation_retry_not_supported")
+    )
+    j = asked.join(j.withColumn("refusal", refusal).withColumn("_there", F.lit(True)), "id", "left")
+    j = j.withColumn("refusal", F.when(F.col("_there").isNull(), "activity_task_not_found").otherwise(F.col("refusal")))
+    lineage, next_id, now = F.coalesce("lineage_id", "id"), derived_id(F.lit("retry"), "id"), moment(as_of)
+    ok = j.where("refusal IS NULL").select("*", lineage.alias("_lineage"), next_id.alias("_next"), (F.col("seq") + 2).alias("_seq"))
+    created = ok.select(
+        F.col("_next").alias("id"), "run_id", F.col("_lineage").alias("lineage_id"), F.col("id").alias("parent_task_id"), F.col("_seq").alias("seq"), F.lit("available").alias("state"),
+        "queue", "priority", F.lit(1).cast("long").alias("attempt"), now.alias("scheduled_at"), now.alias("available_at"),
+    )
+    written = ok.select("run_id", F.col("_seq").alias("seq"), F.lit("activity_retry_scheduled").alias("event_type"), F.col("_command").alias("command_id"), F.col("_next").alias("task_id"), F.col("id").alias("parent_task_id"), "operator", "reason", now.alias("inserted_at"))
+    log = ok.select(F.col("id").alias("task_id"), F.col("_next").alias("successor_task_id"), F.col("_lineage").alias("lineage_id"), F.lit("manual_retry").alias("action"), F.lit("retryable").alias("classification"), "operator", "reason", now.alias("inserted_at"))
+    reopened = ok.select(F.col("run_id").alias("id"), F.lit("suspended").alias("state"), *(F.lit(None).cast(t).alias(c) for c, t in (("error", "string"), ("lease_owner", "string"), ("lease_token", "long"), ("completed_at", "timestamp_ntz"), ("lease_expires_at", "timestamp_ntz"), ("next_wakeup_at", "timestamp_ntz"), ("retention_until", "timestamp_ntz"))))
+    covering = snapshots.join(ok.select("run_id", F.col("seq").alias("_from")), "run_id").where(F.col("through_seq") >= F.col("_from")).select("run_id", "through_seq")
+    return {"tasks": created, "events": written, "operations": log, "runs": reopened, "dropped_snapshots": covering, "refused": j.where("refusal IS NOT NULL").select("id", "refusal")}
 
 
 def operate(tasks: DataFrame, requests: DataFrame, as_of: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -246,7 +246,7 @@ def group_tips(t):
     return graph.group_tips(t["runs"])
 
 
-@query("""WITH RECURSIVE up AS (SELECT id, parent_run_id, 0 AS depth FROM wf_runs UNION ALL SELECT u.id, r.parent_run_id, u.depth + 1 FROM up u JOIN wf_runs r ON r.id = u.parent_run_id WHERE u.depth < 16)
+@query("""WITH RECURSIVE up AS (SELECT id, parent_run_id, 0 AS depth FROM wf_runs UNION ALL SELECT u.id, r.parent_run_id, u.depth + 1 FROM up u JOIN wf_runs r ON r.id = u.parent_run_id)
     SELECT id, CAST(max(depth) AS BIGINT) AS depth FROM up GROUP BY id""")
 def ancestor_depth(t):
     return graph.ancestor_depth(t["runs"])
@@ -343,12 +343,14 @@ def version_differences(t):
     return versions.differences(t["versions"].where("workflow != 'Flow.URGENT'"), t["runs"])
 
 
-@query(f"""WITH loaded AS (SELECT * FROM wf_versions WHERE version_hash = 'v0' AND workflow <> 'Flow.HIGH'), young AS (SELECT * FROM wf_runs WHERE started_at < TIMESTAMP '1993-06-01')
-    SELECT workflow, version_hash FROM wf_versions v WHERE workflow IN (SELECT workflow FROM loaded) AND (workflow, version_hash) NOT IN (SELECT workflow, version_hash FROM loaded)
-    AND (workflow, version_hash) NOT IN (SELECT workflow, version_hash FROM young WHERE state IN {NON_TERMINAL})""")
+@query(f"""WITH known AS (SELECT workflow, version_hash FROM wf_versions UNION ALL SELECT DISTINCT workflow, 'v9' FROM wf_versions), loaded AS (SELECT * FROM wf_versions WHERE version_hash = 'v0' AND workflow <> 'Flow.HIGH')
+    SELECT workflow, version_hash FROM known WHERE workflow IN (SELECT workflow FROM loaded) AND (workflow, version_hash) NOT IN (SELECT workflow, version_hash FROM loaded)
+    AND (workflow, version_hash) NOT IN (SELECT workflow, version_hash FROM wf_runs WHERE state IN {NON_TERMINAL})""")
 def version_gc(t):
+    """With a version of each workflow that no run has."""
+    known = t["versions"].select("workflow", "version_hash").unionByName(t["versions"].select("workflow", F.lit("v9").alias("version_hash")).distinct())
     loaded = t["versions"].where("version_hash = 'v0' AND workflow != 'Flow.HIGH'")
-    return versions.collectable(t["versions"], loaded, t["runs"].where("started_at < TIMESTAMP_NTZ '1993-06-01'"))
+    return versions.collectable(known, loaded, t["runs"])
 
 
 _SITES = "sites AS (SELECT workflow, version_hash, 'retry' AS name, 'c1' AS command_base FROM wf_versions), marks AS (SELECT run_id, seq, 'patched' AS event_type, command_id || '/0' AS command_id, inserted_at FROM wf_events WHERE event_type = 'timer_started')"
@@ -412,10 +414,20 @@ def activity_lineage(t):
     return tasks.lineage(t["tasks"])
 
 
-@query(f"""SELECT t.id, t.run_id, CASE WHEN r.state IS NULL THEN 'orphaned' WHEN r.state = 'cancelled' THEN 'cancelled' WHEN t.lease_expires_at <= {NOW} THEN 'lost' ELSE 'active' END AS status
-    FROM wf_tasks t LEFT JOIN wf_runs r ON r.id = t.run_id WHERE t.state = 'leased'""")
+_CLAIMS = "claims AS (SELECT id, run_id, coalesce(lease_owner, 'worker-0') AS owner, CASE WHEN seq % 8 = 2 THEN attempt + 1 ELSE attempt END AS attempt FROM wf_tasks)"
+
+
+def _claims(t):
+    """Every task as some worker claimed it, an attempt too late now and then."""
+    attempt = F.when(F.col("seq") % 8 == 2, F.col("attempt") + 1).otherwise(F.col("attempt"))
+    return t["tasks"].select("id", "run_id", F.coalesce("lease_owner", F.lit("worker-0")).alias("owner"), attempt.alias("attempt"))
+
+
+@query(f"""WITH {_CLAIMS} SELECT c.id, c.run_id, CASE WHEN t.id IS NULL THEN 'lease_lost' WHEN r.state IN {ACTIVE} AND r.id NOT LIKE '%4' THEN 'active' ELSE 'cancelled' END AS status
+    FROM claims c LEFT JOIN wf_tasks t ON t.id = c.id AND t.state = 'leased' AND t.lease_owner = c.owner AND t.attempt = c.attempt LEFT JOIN wf_runs r ON r.id = c.run_id""")
 def activity_context(t):
-    return tasks.context(t["tasks"], t["runs"], AS_OF)
+    asked = F.when(F.col("id").like("%4"), F.lit(AS_OF).cast("timestamp_ntz"))
+    return tasks.context(t["tasks"], t["runs"].withColumn("cancel_requested_at", asked), _claims(t))
 
 
 # -- transitions
@@ -467,10 +479,12 @@ def signal_race(t):
     return transitions.signal_race(_awaits(t), t["signals"], t["events"], AS_OF)
 
 
-@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY correlation_id, name, delivery_id ORDER BY inserted_at, id) AS k FROM wf_signals WHERE delivery_id IS NOT NULL)
-    SELECT id, correlation_id, name, delivery_id FROM n WHERE k = 1 UNION ALL SELECT id, correlation_id, name, delivery_id FROM wf_signals WHERE delivery_id IS NULL""")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY correlation_id, name, delivery_id ORDER BY inserted_at, id) AS k FROM wf_signals WHERE delivery_id IS NOT NULL AND NOT delivered)
+    SELECT id, correlation_id, name, delivery_id FROM n WHERE k = 1 AND NOT EXISTS (SELECT 1 FROM wf_signals e WHERE e.delivered AND e.correlation_id = n.correlation_id AND e.name = n.name AND e.delivery_id = n.delivery_id)
+    UNION ALL SELECT id, correlation_id, name, delivery_id FROM wf_signals WHERE delivery_id IS NULL AND NOT delivered""")
 def signal_dedupe(t):
-    return history.insert_signals(t["signals"].limit(0), t["signals"]).select("id", "correlation_id", "name", "delivery_id")
+    """What is delivered is there already; the rest arrives."""
+    return history.insert_signals(t["signals"].where("delivered"), t["signals"].where("NOT delivered")).select("id", "correlation_id", "name", "delivery_id")
 
 
 @query("""WITH r AS (SELECT queue AS activity_module, 'k' || CAST(CAST(split_part(id, '-', 1) AS BIGINT) % 500 AS VARCHAR) AS idempotency_key, available_at AS completed_at, run_id, seq FROM wf_tasks WHERE state = 'completed')
@@ -494,12 +508,11 @@ def retention_stamp(t):
     return transitions.retention(t["runs"].where("state = 'running'").select("id", "workflow", "version_hash"), known, AS_OF).select("id", "workflow", "version_hash", "retention_until")
 
 
-_CASCADE = _DOWN + f", hit AS (SELECT DISTINCT r.id, r.state FROM down d JOIN wf_runs r ON r.id = d.id WHERE r.state IN {NON_TERMINAL} AND CAST(d.root_id AS BIGINT) % 5 = 0)"
+_CASCADE = _DOWN + f", hit AS (SELECT DISTINCT r.id, r.state FROM down d JOIN wf_runs r ON r.id = d.id WHERE r.state IN {NON_TERMINAL})"
 
 
 def _cascade(t):
-    roots = _roots(t).where("CAST(id AS BIGINT) % 5 = 0")
-    return transitions.cancel_cascade(t["runs"], t["tasks"], t["timers"], roots)
+    return transitions.cancel_cascade(t["runs"], t["tasks"], t["timers"], _roots(t))
 
 
 @query(_CASCADE + " SELECT id, state AS old_state, 'cancelled' AS state FROM hit")
@@ -518,15 +531,15 @@ def cancel_cascade_timers(t):
 
 
 def _continued(t):
-    return transitions.continue_as_new(t["runs"], t["signals"], t["runs"].where("CAST(id AS BIGINT) % 2 = 0").select("id"), AS_OF)
+    return transitions.continue_as_new(t["runs"], t["signals"], t["runs"].select("id"), AS_OF)
 
 
-@query(f"SELECT id AS continued_from_run_id, workflow, version_hash, namespace, 'running' AS state, attributes, {NOW} AS started_at, parent_run_id, coalesce(correlation_id, id) AS correlation_id FROM wf_runs WHERE state IN {ACTIVE} AND CAST(id AS BIGINT) % 2 = 0")
+@query(f"SELECT id AS continued_from_run_id, workflow, version_hash, namespace, 'running' AS state, attributes, {NOW} AS started_at, parent_run_id, coalesce(correlation_id, id) AS correlation_id FROM wf_runs WHERE state IN {ACTIVE}")
 def continue_as_new(t):
     return _continued(t)["created"].drop("id")
 
 
-@query(f"SELECT s.id, s.run_id AS old_run_id FROM wf_signals s JOIN wf_runs r ON r.id = s.run_id WHERE NOT s.delivered AND r.state IN {ACTIVE} AND CAST(r.id AS BIGINT) % 2 = 0")
+@query(f"SELECT s.id, s.run_id AS old_run_id FROM wf_signals s JOIN wf_runs r ON r.id = s.run_id WHERE NOT s.delivered AND r.state IN {ACTIVE}")
 def continue_as_new_signals(t):
     moved, created = _continued(t)["moved"], _continued(t)["created"]
     return moved.join(created.select(F.col("id").alias("run_id"), F.col("continued_from_run_id").alias("old_run_id")), "run_id").select("id", "old_run_id")
@@ -552,6 +565,27 @@ def task_lease_validation(t):
     return transitions.task_lease_errors(t["tasks"], writes, AS_OF)
 
 
+@query(f"""WITH {_CLAIMS}, e AS (SELECT w.id, w.run_id, CASE WHEN t.state <> 'leased' THEN 'not_leased' WHEN t.lease_owner IS DISTINCT FROM w.owner THEN 'lease_mismatch' WHEN t.attempt <> w.attempt THEN 'attempt_mismatch'
+      WHEN t.lease_expires_at IS NULL THEN 'missing_expiry' WHEN t.lease_expires_at < {NOW} THEN 'lease_expired' END AS reason FROM claims w JOIN wf_tasks t ON t.id = w.id)
+    SELECT id, run_id, reason, CASE WHEN reason IN ('lease_expired', 'missing_expiry') THEN 'requeue' ELSE 'drop' END AS action FROM e WHERE reason IS NOT NULL""")
+def fenced_writes(t):
+    return transitions.fenced_writes(transitions.task_lease_errors(t["tasks"], _claims(t).withColumnRenamed("owner", "lease_owner"), AS_OF)).select("id", "run_id", "reason", "action")
+
+
+@query(f"""WITH tail AS (SELECT run_id, max(seq) AS seq, arg_max(event_type, seq) AS event_type FROM wf_events GROUP BY 1)
+    SELECT t.id, CASE WHEN t.state NOT IN ('discarded','dead_lettered') THEN 'not_discarded' WHEN r.id IS NULL THEN 'run_not_found' WHEN r.state <> 'failed' THEN 'run_not_failed' WHEN r.parent_run_id IS NOT NULL THEN 'child_run_retry_not_supported'
+      WHEN coalesce(l.seq <> t.seq + 1 OR l.event_type <> 'activity_failed', true) THEN 'failure_not_replay_tail' ELSE 'retried' END AS outcome, CASE WHEN outcome = 'retried' THEN t.seq + 2 END AS retry_seq
+    FROM wf_tasks t LEFT JOIN wf_runs r ON r.id = t.run_id LEFT JOIN tail l ON l.run_id = t.run_id""")
+def manual_retries(t):
+    """A retry of every task is asked for."""
+    asked = t["tasks"].select("id", F.lit("me").alias("operator"), F.lit("why").alias("reason"))
+    own = t["tasks"].withColumn("parent_task_id", F.lit(None).cast("string"))
+    snapshots = t["events"].select("run_id", F.col("seq").alias("through_seq"))
+    out = transitions.manual_retry(t["runs"], own, t["events"], snapshots, asked, AS_OF)
+    done = out["tasks"].select(F.col("parent_task_id").alias("id"), F.lit("retried").alias("outcome"), F.col("seq").alias("retry_seq"))
+    return done.unionByName(out["refused"].select("id", F.col("refusal").alias("outcome"), F.lit(None).cast("long").alias("retry_seq")))
+
+
 @query(f"""SELECT t.id, t.run_id, {NOW} AS last_heartbeat_at, {NOW} + INTERVAL '30' SECOND AS lease_expires_at FROM wf_tasks t JOIN wf_runs r ON r.id = t.run_id
     WHERE t.state = 'leased' AND t.lease_expires_at > {NOW} AND r.state IN {ACTIVE} AND r.lease_expires_at > {NOW}""")
 def task_heartbeats(t):
@@ -622,14 +656,21 @@ def drift_points(t):
     return folds.drift(_expected(t), t["events"])
 
 
-@query("SELECT run_id, seq, event_type, row_number() OVER (PARTITION BY run_id, event_type ORDER BY seq) - 1 AS ordinal FROM wf_events")
+@query(f"WITH c AS (SELECT run_id, seq, event_type || '@' || CAST(seq % 8 AS VARCHAR) AS base FROM wf_events WHERE event_type IN {_OPEN}) SELECT run_id, seq, base, row_number() OVER (PARTITION BY run_id, base ORDER BY seq) - 1 AS ordinal FROM c")
 def command_ordinals(t):
-    return folds.command_ordinals(t["events"])
+    """As if each kind of command stood at four places of its program, in turn."""
+    base = F.concat("event_type", F.lit("@"), (F.col("seq") % 8).cast("string"))
+    return folds.command_ordinals(t["events"].where(F.col("event_type").isin(*folds.PAIRS)).select("run_id", "seq", base.alias("base")))
 
 
-@query("SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq DESC) - 1 AS place FROM wf_events WHERE event_type = 'activity_completed'")
+@query("""SELECT d.run_id, d.seq, row_number() OVER (PARTITION BY d.run_id ORDER BY d.seq DESC) - 1 AS place FROM wf_events d JOIN wf_events s ON s.run_id = d.run_id AND s.command_id = d.command_id AND s.event_type = 'activity_scheduled'
+    WHERE d.event_type = 'activity_completed' AND s.seq % 4 = 0 AND (CAST(d.run_id AS BIGINT) + d.seq) % 5 <> 1""")
 def compensation_lifo(t):
-    return folds.compensation_order(t["events"])
+    """Every other activity has a compensation, and a fifth of them were compensated."""
+    able = F.when((F.col("event_type") == "activity_scheduled") & (F.col("seq") % 4 == 0), '{"compensate":"undo"}')
+    done = t["events"].where("event_type = 'activity_completed' AND (CAST(run_id AS BIGINT) + seq) % 5 = 1")
+    undone = done.select("run_id", (F.col("seq") + 1000).alias("seq"), F.lit("compensation_completed").alias("event_type"), F.concat(F.lit("undo-"), "command_id").alias("command_id"), "inserted_at", F.to_json(F.struct(F.col("command_id").alias("target_activity_id"))).alias("payload"))
+    return folds.compensation_order(t["events"].withColumn("payload", able).unionByName(undone))
 
 
 @query("SELECT run_id, max(seq) AS seq FROM wf_events s WHERE event_type = 'timer_started' AND NOT EXISTS (SELECT 1 FROM wf_events f WHERE f.run_id = s.run_id AND f.event_type = 'timer_fired' AND f.command_id = s.command_id) GROUP BY run_id")

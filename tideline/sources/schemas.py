@@ -6,7 +6,7 @@ from __future__ import annotations
 TABLES = {
     "runs": "id string, workflow string, version_hash string, namespace string, state string, attributes string, input string, result string, error string,"
     " started_at timestamp_ntz, completed_at timestamp_ntz, retention_until timestamp_ntz, lease_owner string, lease_token bigint, lease_expires_at timestamp_ntz,"
-    " next_wakeup_at timestamp_ntz, parent_run_id string, correlation_id string, continued_from_run_id string",
+    " next_wakeup_at timestamp_ntz, parent_run_id string, correlation_id string, continued_from_run_id string, cancel_requested_at timestamp_ntz",
     "events": "run_id string, seq bigint, event_type string, command_id string, payload string, inserted_at timestamp_ntz",
     "tasks": "id string, run_id string, lineage_id string, parent_task_id string, seq bigint, state string, queue string, priority bigint, attempt bigint,"
     " scheduled_at timestamp_ntz, available_at timestamp_ntz, lease_owner string, lease_expires_at timestamp_ntz, last_heartbeat_at timestamp_ntz",

@@ -104,8 +104,10 @@ class ParquetStore:
         return self.read("events").select("month").distinct().orderBy("month")
 
     def drop_months(self, months: list[str]) -> None:
-        """A new version of the journal without these partitions; the others are not filtered row by row."""
-        self.replace("events", self.read("events").where(~F.col("month").isin(months)))
+        """Remove these partitions' folders; the others are not touched. No query may be reading them."""
+        versions = self._versions("events")
+        for month in months if versions else ():
+            delete(self.spark, f"{self.folder}/events/v{versions[-1]}/month={month}")
 
 
 def ensure_months(events: DataFrame, have: DataFrame) -> DataFrame:
