@@ -232,7 +232,7 @@ def _survivors(members: DataFrame, percent: int, miss: float, best: bool) -> Dat
 
     def pairs_of(group: dict[str, np.ndarray], band: int) -> tuple[np.ndarray, np.ndarray]:
         n, sign, comp = group["n"], group["signature"], group["comp"]
-        values = [group[c] for c in ("signature", "wide") if c in group]
+        values = [group["signature"], group["wide"]]
         left = np.flatnonzero(group["own"] & 1)
         right = np.flatnonzero(group["own"] & 2)
         out = []
@@ -271,9 +271,7 @@ def _survivors(members: DataFrame, percent: int, miss: float, best: bool) -> Dat
             key = np.stack([rows.column(c).to_numpy() for c in ("band", "bucket", "i", "j")], 1)
             edges = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
             own = {c: rows.column(c).to_numpy() for c in ("cid", "comp", "n", "own")}
-            own["signature"] = _matrix(rows.column("signature"))
-            if not best:
-                own["wide"] = _wide(rows.column("wide"))
+            own["signature"], own["wide"] = _matrix(rows.column("signature")), _wide(rows.column("wide"))
             found = []
             for a, b in zip([0, *edges.tolist()], [*edges.tolist(), rows.num_rows]):
                 if b - a > 1:
@@ -302,15 +300,15 @@ def _survivors(members: DataFrame, percent: int, miss: float, best: bool) -> Dat
     return members.mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, sets: DataFrame, labels: DataFrame, block: int, wide: bool) -> DataFrame:
+def _blocks(members: DataFrame, sets: DataFrame, labels: DataFrame, block: int) -> DataFrame:
     """The members of buckets that hold several components yet, dealt to pairs of blocks of about `block`."""
     placed = relabelled(members, labels, "cid", "comp")
     open_buckets = placed.groupBy("band", "bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low != high").select("band", "bucket")
-    left = placed.join(open_buckets, ["band", "bucket"]).join(sets.select("cid", "n", "signature", *["wide"] * wide), "cid")
+    left = placed.join(open_buckets, ["band", "bucket"]).join(sets.select("cid", "n", "signature", "wide"), "cid")
     left = left.withColumn("blocks", F.ceil(F.col("size") / F.lit(block)).cast("int"))
     left = left.withColumn("at", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = left.select(
-        "band", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "cid", "comp", "n", "signature", *["wide"] * wide,
+        "band", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "cid", "comp", "n", "signature", "wide",
         #: 1: on the left side of its block pair, 2: on the right, 3: on both.
         F.when(F.col("at") == F.col("other"), 3).when(F.col("at") < F.col("other"), 1).otherwise(2).alias("own"),
     )
@@ -348,7 +346,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     #: First the likeliest pair of each two components, which joins most that belong together, then all others.
     for best in (True, False):
-        pairs = work.keep(_survivors(_blocks(members, sets, labels, block, wide=not best), percent, miss, best).distinct(), "near-pairs")
+        pairs = work.keep(_survivors(_blocks(members, sets, labels, block), percent, miss, best).distinct(), "near-pairs")
         more = work.keep(_verified(pairs, sets, percent), "near-links")
         over = relabelled(relabelled(more, labels, "a", "x"), labels, "b", "y").where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b"))
         merged = connected(over, "near-merged")
