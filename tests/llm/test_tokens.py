@@ -114,17 +114,18 @@ def test_counts_of_a_table_come_by_splices(spark):
     where = "/root/testdata/sf0.01"
     rows = queries.op7_token_counts(spark, where).collect()
     #: The first chunk reads its overlap, too.
-    long = sum(len(r["text"] or "") > 4096 + 256 for r in spark.read.parquet(f"{where}/documents.parquet").collect())
+    long = sum(len((r["text"] or "").encode()) > 4096 + 256 for r in spark.read.parquet(f"{where}/documents.parquet").collect())
     assert sum(r["n_splices"] > 0 for r in rows) == long > 100
 
 
 def test_splices_and_widening(library):
-    own, _ = encoder(JSON)
+    _, units = encoder(JSON)
+    count = lambda text: token_counts.spliced_counts([text.encode()], units, 1000, 64)[0]
     for text in ("word " * 5000, "x" * 9000, "ab  \n " * 2000, "!" * 4000 + " tail", "日本語 " * 900):
-        total, splices, widened = token_counts.spliced_count(text, own, 1000, 64)
+        total, splices, widened = count(text)
         assert total == len(library.encode(text, add_special_tokens=False).ids)
-    assert token_counts.spliced_count("word " * 5000, own, 1000, 64)[1] > 10
-    assert token_counts.spliced_count("x" * 9000, own, 1000, 64)[2] > 0
+    assert count("word " * 5000)[1] > 10
+    assert count("x" * 9000)[2] > 0
 
 
 def test_bpe(spark, ranked):

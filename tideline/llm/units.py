@@ -94,6 +94,18 @@ class UnitTable:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all texts, one after another; for each text the index of its first id, and the end)."""
+        starts, offsets, pool, begin, size = self._units(column)
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return pool[ranges(begin, size)], ends[np.searchsorted(starts, offsets)]
+
+    def boundaries(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte of each unit of all texts, one after another; number of tokens before each and in all; first
+        byte of each text, and the end)."""
+        starts, offsets, _, _, size = self._units(column)
+        return starts, np.concatenate([[0], np.cumsum(size)]), offsets
+
+    def _units(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte of each unit, first byte of each text, pool of ids, where each unit's ids are there, how many)."""
         data, offsets = flat(column)
         starts = unit_starts(data, offsets)
         lengths = np.diff(starts, append=len(data))
@@ -119,5 +131,4 @@ class UnitTable:
             sizes, more = self._made(data, starts[odd], lengths[odd])
             size[odd], begin[odd] = sizes, len(pool) + np.cumsum(sizes, dtype=np.int64) - sizes
             pool = np.concatenate([pool, more])
-        ends = np.concatenate([[0], np.cumsum(size)])
-        return pool[ranges(begin, size)], ends[np.searchsorted(starts, offsets)]
+        return starts, offsets, pool, begin, size
