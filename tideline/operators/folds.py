@@ -76,7 +76,8 @@ def steps(events: DataFrame) -> DataFrame:
         F.max(F.struct("seq", "event_type", "_next", "_next_seq")).alias("last"),
         F.count(F.lit(1)).alias("n"),
         F.bool_and(F.col("command_id").isNotNull()).alias("named"),
-        F.count_distinct("command_id").alias("commands"),
+        F.min("command_id").alias("least_command"),
+        F.max("command_id").alias("most_command"),
     )
     root, last = F.col("root.event_type"), F.col("last.event_type")
     pair, alone = root.isin(*PAIRS), F.col("n") == 1
@@ -88,9 +89,9 @@ def steps(events: DataFrame) -> DataFrame:
         .when((root == "compensation_scheduled") & alone & (F.col("last._next") == "compensation_scheduled"), "parallel")
         .when(pair & (open_end | ~contiguous), "mismatch")
         .when(~F.col("named"), "missing_command")
-        .when(F.col("commands") > 1, "mismatch")
+        .when(F.col("least_command") != F.col("most_command"), "mismatch")
     )
-    return group.select("run_id", "root.seq", _effect(root).alias("effect_type"), "root.command_id", last.alias("result_type"), F.col("n").alias("advance_by"), stop.alias("stop"))
+    return group.select("run_id", "root.seq", _effect(root).alias("effect_type"), "root.command_id", last.alias("result_type"), F.col("n").alias("advance_by"), stop.alias("stop"), "least_command", "most_command")
 
 
 def compacted(events: DataFrame) -> DataFrame:
@@ -114,6 +115,20 @@ def snapshots(events: DataFrame, threshold: int = 1, most_bytes: int | None = No
     return made if most_bytes is None else made.where(F.octet_length("steps") <= most_bytes)
 
 
+_STEPS = "array<struct<seq:bigint,effect_type:string,command_id:string,result_type:string,advance_by:bigint>>"
+
+
+def extended(base: DataFrame, events: DataFrame) -> DataFrame:
+    """run_id, through_seq, step_count, steps: snapshots on top of base ones (run_id, through_seq, steps; one a run,
+    see history.latest_snapshots). Only events behind the base are folded; its steps stay. Runs without a new
+    complete step give no row, runs without a base are folded from their start."""
+    old = base.select("run_id", F.col("through_seq").alias("_base"), F.from_json("steps", _STEPS).alias("_old"))
+    tail = events.join(old.select("run_id", "_base"), "run_id", "left").where(F.col("seq") > F.coalesce("_base", F.lit(-1))).drop("_base")
+    both = F.concat(F.coalesce("_old", F.from_json(F.lit("[]"), _STEPS)), F.from_json("steps", _STEPS))
+    made = snapshots(tail).join(old, "run_id", "left").withColumn("_all", F.array_sort(both))
+    return made.select("run_id", "through_seq", F.size("_all").cast("long").alias("step_count"), F.to_json("_all").alias("steps"))
+
+
 def folded_in_python(events: DataFrame) -> DataFrame:
     """As compacted, by a plain loop over each run's events; the windows are tested against it."""
 
@@ -205,6 +220,28 @@ def drift(expected: DataFrame, events: DataFrame) -> DataFrame:
     return replayed(expected, events).where("verdict = 'mismatch'").groupBy("run_id").agg(F.min("seq").alias("seq"))
 
 
+def matched(expected: DataFrame, events: DataFrame) -> DataFrame:
+    """expected (run_id, seq, effect_type, command_id, identity) against the steps of the history: verdict ok, with
+    advance_by and result_type of the whole step (its end, retries included); pending, where nothing is written
+    there yet or the step has not ended; parallel, for a compensation within a batch (see parallel_batches); or
+    mismatch. identity is what the effect must agree in beside its command, a map of names and texts that the
+    payload of the step's first event must hold (a kind; a level and message; a signal's name; a timer, target
+    or child id; a child's workflow and input hash); null or empty asks nothing. A missing command in the history
+    matches any."""
+    key = ["run_id", "seq"]
+    step = steps(events).select(*key, F.col("effect_type").alias("_effect"), "result_type", "advance_by", "stop", "least_command", "most_command")
+    held = events.select(*key, F.from_json("payload", "map<string,string>").alias("_payload"), F.lit(True).alias("_there"))
+    j = expected.join(held, key, "left").join(step, key, "left")
+    own = lambda c: F.col(c).isNull() | F.col(c).eqNullSafe(F.col("command_id"))
+    agrees = F.coalesce(F.forall(F.map_entries("identity"), lambda x: F.col("_payload")[x["key"]].eqNullSafe(x["value"])), F.lit(True))
+    same = F.coalesce(F.col("_effect") == F.col("effect_type"), F.lit(False)) & own("least_command") & own("most_command") & agrees
+    ended = F.col("stop").isNull() | (F.col("stop") == "missing_command")
+    verdict = F.when(F.col("_there").isNull(), "pending").when(~same, "mismatch").when(F.col("stop") == "incomplete", "pending").when(F.col("stop") == "parallel", "parallel").when(ended, "ok").otherwise("mismatch")
+    j = j.withColumn("verdict", verdict)
+    ok = F.col("verdict") == "ok"
+    return j.select(*key, "effect_type", "command_id", "verdict", F.when(ok, F.col("result_type")).alias("result_type"), F.when(ok, F.col("advance_by")).alias("advance_by"))
+
+
 def patch_decisions(uses: DataFrame, events: DataFrame) -> DataFrame:
     """uses (run_id, patch_name, seq) with the value that holds: the marker's, false without one; the first
     decision of a name holds for the whole run."""

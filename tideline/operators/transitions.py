@@ -281,6 +281,30 @@ def manual_retry(runs: DataFrame, tasks: DataFrame, events: DataFrame, snapshots
     return {"tasks": created, "events": written, "operations": log, "runs": reopened, "dropped_snapshots": covering, "refused": j.where("refusal IS NOT NULL").select("id", "refusal")}
 
 
+def schedule_compensations(runs: DataFrame, events: DataFrame, tasks: DataFrame, requests: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """requests (run_id, token, seq, command_id, payload, task_id, lineage_id, queue, priority): the compensations
+    of a run, each an event and a task. A run's batch is taken as a whole or not at all. Refused: lease_lost
+    (no such run, one that has ended, another token), seq_taken, task_exists; a number or task that the requests
+    themselves name twice counts as taken."""
+    lease = runs.select(F.col("id").alias("run_id"), F.col("state").alias("_state"), F.col("lease_owner").alias("_owner"), F.col("lease_token").alias("_token"))
+    written = events.join(requests.select("run_id"), "run_id", "left_semi").select("run_id", "seq", F.lit(True).alias("_written")).distinct()
+    known = tasks.select(F.col("id").alias("task_id"), F.lit(True).alias("_known"))
+    named = requests.groupBy("task_id").agg(F.count(F.lit(1)).alias("_named"))
+    j = requests.join(lease, "run_id", "left").join(written, ["run_id", "seq"], "left").join(known, "task_id", "left").join(named, "task_id", "left")
+    held = F.coalesce(_active("_state") & token_matches(F.col("_token"), F.col("_owner"), F.col("token")), F.lit(False))
+    by = j.groupBy("run_id").agg(
+        F.bool_and(held).alias("_held"), (F.coalesce(F.bool_or("_written"), F.lit(False)) | (F.count_distinct("seq") < F.count(F.lit(1)))).alias("_taken"),
+        (F.coalesce(F.bool_or("_known"), F.lit(False)) | (F.max("_named") > 1)).alias("_exists"),
+    )
+    judged = by.select("run_id", F.when(~F.col("_held"), "lease_lost").when(F.col("_taken"), "seq_taken").when(F.col("_exists"), "task_exists").alias("reason"))
+    ok, now = requests.join(judged.where("reason IS NULL").select("run_id"), "run_id", "left_semi"), moment(as_of)
+    made = ok.select(
+        F.col("task_id").alias("id"), "run_id", F.coalesce("lineage_id", "task_id").alias("lineage_id"), F.lit(None).cast("string").alias("parent_task_id"), "seq", F.lit("available").alias("state"),
+        F.coalesce("queue", F.lit("default")).alias("queue"), F.coalesce("priority", F.lit(0)).cast("long").alias("priority"), F.lit(1).cast("long").alias("attempt"), now.alias("scheduled_at"), now.alias("available_at"),
+    )
+    return {"events": ok.select("run_id", "seq", F.lit("compensation_scheduled").alias("event_type"), "command_id", "payload", now.alias("inserted_at")), "tasks": made, "refused": judged.where("reason IS NOT NULL")}
+
+
 def operate(tasks: DataFrame, requests: DataFrame, as_of: str, dry_run: bool = True) -> tuple[DataFrame, DataFrame]:
     """(tasks changed, operations logged) of requests (id, action: classify or dead_letter, classification,
     operator) on discarded or dead-lettered tasks. A dry run changes and logs nothing but says planned."""
@@ -384,6 +408,14 @@ def schedule_outcomes(claimed: DataFrame, outcomes: DataFrame, as_of: str, most_
     return j.select("id", state.alias("state"), "attempt", at.alias("scheduled_at"))
 
 
+def create_schedules(schedules: DataFrame, requests: DataFrame) -> DataFrame:
+    """requests (id, run_id, workflow, version_hash, namespace, scheduled_at) as schedules that wait; ids that exist
+    are left out, and of equal ones the first run counts."""
+    new = history.insert_if_absent(schedules, requests, ["id"], ["scheduled_at", "run_id"])
+    waiting = {"namespace": F.coalesce("namespace", F.lit("default")), "state": F.lit("scheduled"), "attempt": F.lit(0).cast("long"), "claimed_at": F.lit(None).cast("timestamp_ntz")}
+    return new.withColumns(waiting).select("id", "run_id", "workflow", "version_hash", "namespace", "scheduled_at", "state", "attempt", "claimed_at")
+
+
 def cancel_schedules(schedules: DataFrame, requests: DataFrame) -> DataFrame:
     return schedules.where("state = 'scheduled'").join(requests.select("id"), "id", "left_semi").select("id", F.lit("cancelled").alias("state"))
 

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import scalars
-from tideline.operators import folds, graph, health, history, retention, tasks, transitions, versions
+from tideline.operators import folds, graph, health, history, repairs, retention, tasks, transitions, versions
 from tideline.operators.query import ALL_NAMESPACES, RunQuery, encode_cursor
 from tideline.sources.fixtures import AS_OF, with_tables, workflow_tables
+from tideline.streaming import signals
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 NON_TERMINAL = "('running','suspended','stuck_unknown_version')"
@@ -592,6 +593,38 @@ def task_heartbeats(t):
     return transitions.heartbeat(t["tasks"], t["runs"], t["tasks"].select("id", F.col("lease_owner").alias("owner"), "attempt"), AS_OF)
 
 
+@query(f"""WITH n AS (SELECT run_id, max(seq) + 1 AS n FROM wf_events GROUP BY 1), q AS (SELECT run_id, n AS seq, 'u1' AS command_id FROM n UNION ALL SELECT run_id, CASE WHEN run_id LIKE '%4' THEN n - 1 ELSE n + 1 END, 'u2' FROM n)
+    SELECT q.run_id, seq, command_id FROM q JOIN wf_runs r ON r.id = q.run_id WHERE r.state IN {ACTIVE} AND (lease_token IS NOT NULL OR lease_owner IS NULL) AND r.id NOT LIKE '%4'""")
+def compensation_batches(t):
+    """Every run asks for two compensations under its own lease; those of some claim a number that is taken."""
+    n = t["events"].groupBy("run_id").agg((F.max("seq") + 1).alias("n")).join(t["runs"].select(F.col("id").alias("run_id"), F.col("lease_token").alias("token")), "run_id", "left")
+    two = n.select("*", F.explode(F.array(F.lit("u1"), F.lit("u2"))).alias("command_id"))
+    seq = F.when(F.col("command_id") == "u1", F.col("n")).when(F.col("run_id").like("%4"), F.col("n") - 1).otherwise(F.col("n") + 1)
+    none = {c: F.lit(None).cast("string") for c in ("payload", "lineage_id", "queue")} | {"priority": F.lit(None).cast("long")}
+    asked = two.withColumns({"seq": seq, "task_id": F.concat("run_id", F.lit("/"), "command_id"), **none})
+    return transitions.schedule_compensations(t["runs"], t["events"], t["tasks"], asked, AS_OF)["events"].select("run_id", "seq", "command_id")
+
+
+@query(f"""WITH w AS (SELECT id, 'wake' AS action, CASE WHEN state = 'running' AND lease_token IS NOT NULL THEN 'repaired' WHEN state = 'suspended' AND lease_token IS NOT NULL THEN 'repaired' ELSE 'stale_or_inactive' END AS status FROM wf_runs),
+    l AS (SELECT id, 'release_expired_lease', CASE WHEN state IN {ACTIVE} AND lease_token IS NOT NULL AND lease_owner IS NOT NULL AND lease_expires_at <= {NOW} THEN 'repaired' WHEN lease_owner IS NULL AND lease_token IS NULL THEN 'already_applied' ELSE 'stale_or_not_expired' END FROM wf_runs),
+    q AS (SELECT id, 'requeue_activity', CASE WHEN state = 'leased' AND lease_owner IS NOT NULL AND seq % 8 <> 2 AND lease_expires_at <= {NOW} THEN 'repaired' ELSE 'stale_or_not_expired' END FROM wf_tasks)
+    SELECT id AS subject_id, action, status FROM (SELECT * FROM w UNION ALL SELECT * FROM l UNION ALL SELECT * FROM q)""")
+def repair_statuses(t):
+    """Every run is to wake and to give up its lease, every task to be requeued, as their senders saw them."""
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    rest = none("finding_type", "fingerprint", "reviewed_by", "reason")
+    run = t["runs"].select(F.explode(F.array(F.lit("wake"), F.lit("release_expired_lease"))).alias("action"), F.col("id").alias("subject_id"), "lease_owner", "lease_token", F.lit(None).cast("long").alias("attempt"), *rest)
+    seen = F.when(F.col("seq") % 8 == 2, F.col("attempt") + 1).otherwise(F.col("attempt"))
+    task = t["tasks"].select(F.lit("requeue_activity").alias("action"), F.col("id").alias("subject_id"), "lease_owner", F.lit(None).cast("long").alias("lease_token"), seen.alias("attempt"), *rest)
+    return repairs.repair(t["runs"], t["tasks"], t["versions"], run.unionByName(task), AS_OF, dry_run=False)["status"].select("subject_id", "action", "status")
+
+
+@query(f"""WITH able AS (SELECT t.id FROM wf_timers t JOIN wf_runs r ON r.id = t.run_id WHERE NOT t.fired AND t.fires_at <= {NOW} AND r.state = 'suspended' AND r.lease_owner IS NOT NULL AND r.lease_expires_at > {NOW} ORDER BY t.fires_at, t.id LIMIT 1000000)
+    SELECT id, run_id, CASE WHEN (SELECT count(*) FROM able) < 1000000 THEN {NOW} + INTERVAL '60' SECOND ELSE {NOW} END AS retry_at FROM wf_timers WHERE NOT fired AND fires_at <= {NOW} AND id NOT IN (SELECT id FROM able)""")
+def timer_retries(t):
+    return signals.timer_retries(t["timers"], t["runs"], AS_OF, batch=1_000_000)
+
+
 # -- folds
 
 
@@ -635,6 +668,22 @@ def snapshot_trigger(t):
     return folds.snapshots(t["events"], threshold=6).select("run_id", "through_seq", "step_count")
 
 
+@query(f"WITH {_STEPS} SELECT run_id, max(seq) + 1 AS through_seq, count(*) AS step_count FROM p GROUP BY run_id HAVING max(seq) >= 4")
+def snapshot_extended(t):
+    """Snapshots of the first four events are the base, and whole histories go on from there."""
+    return folds.extended(folds.snapshots(t["events"].where("seq < 4")), t["events"]).select("run_id", "through_seq", "step_count")
+
+
+@query(f"""WITH e AS (SELECT a.*, b.seq AS closed, b.event_type AS closer, (CAST(a.run_id AS BIGINT) + a.seq) % 11 = 0 AS changed FROM wf_events a LEFT JOIN wf_events b ON b.run_id = a.run_id AND b.seq = a.seq + 1 WHERE a.event_type IN {_OPEN})
+    SELECT run_id, seq, CASE WHEN changed THEN 'mismatch' WHEN closed IS NULL THEN 'pending' ELSE 'ok' END AS verdict, CASE WHEN NOT changed THEN closer END AS result_type, CASE WHEN NOT changed AND closed IS NOT NULL THEN CAST(2 AS BIGINT) END AS advance_by FROM e""")
+def replay_matches(t):
+    """Every command as its program would give it, with the place it stands at, one in eleven changed."""
+    effect = F.create_map(*[F.lit(x) for name, (_, e) in folds.PAIRS.items() for x in (name, e)])[F.col("event_type")]
+    place = (F.col("seq") % 8).cast("string")
+    asked = _expected(t).where(F.col("event_type").isin(*folds.PAIRS)).select("run_id", "seq", effect.alias("effect_type"), "command_id", F.create_map(F.lit("place"), place).alias("identity"))
+    return folds.matched(asked, t["events"].withColumn("payload", F.to_json(F.struct(place.alias("place"))))).select("run_id", "seq", "verdict", "result_type", "advance_by")
+
+
 @query(f"WITH {_STEPS}, u AS (SELECT run_id, sum(advance_by) AS n FROM p GROUP BY 1) SELECT e.run_id, count(*) AS events, CAST(coalesce(max(u.n), 0) AS BIGINT) AS consumed, count(*) = coalesce(max(u.n), 0) AS complete FROM wf_events e LEFT JOIN u ON u.run_id = e.run_id GROUP BY 1")
 def history_consumption(t):
     return folds.consumption(t["events"])
