@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tests.test_rules import NOW, T, events, one, runs
 from tests.test_streams import arriving, drained
-from tideline.operators import folds, history, repairs, transitions
+from tideline.operators import folds, history, repairs, retention, transitions
+from tideline.operators import tasks as queue
 from tideline.sources.schemas import TABLES
 from tideline.streaming import signals
 
@@ -130,6 +131,13 @@ def test_a_miss_ends_a_task_lease_and_an_error_does_not(spark, tmp_path):
     assert [x[1:] for x in sorted((x for x in got if x[0] == "a"), key=lambda x: x[2])] == [("held", at(0)), ("retry", at(10)), ("held", at(13)), ("expired", at(43))]
 
 
+def test_orders_for_display(spark):
+    rows = spark.createDataFrame([("l", "retry", "b", T(1)), ("l", "root", "a", T(2)), ("l", "attempt", "c", T(1)), ("k", "root", "d", T(3))], "lineage string, kind string, id string, at timestamp_ntz")
+    assert [r["id"] for r in queue.in_lineage_order(rows).collect()] == ["d", "a", "b", "c"]
+    runs_ = spark.createDataFrame([("a", "y", T(1)), ("b", "x", T(2)), ("c", "x", T(1)), ("d", "x", T(1))], "id string, correlation_id string, completed_at timestamp_ntz")
+    assert [r["id"] for r in retention.in_archive_order(runs_).collect()] == ["c", "d", "b", "a"]
+
+
 def test_nothing_to_repair_or_schedule(spark):
     r, t = runs(spark, {"id": "a"}), tasks(spark, {"id": "t"})
     out = repairs.repair(r.limit(0), t.limit(0), spark.createDataFrame([], TABLES["versions"]), asked(spark).where(F.lit(True)), NOW, dry_run=False)

@@ -89,6 +89,11 @@ def archivable(runs: DataFrame, as_of: str, days: int = 0) -> DataFrame:
     return followed.join(held, "correlation_id", "left_anti").select("id", "correlation_id", "completed_at")
 
 
+def in_archive_order(rows: DataFrame) -> DataFrame:
+    """Archivable runs for display: by group, and in each as they ended."""
+    return rows.orderBy("correlation_id", "completed_at", "id")
+
+
 def archive(runs: DataFrame, as_of: str, days: int = 0) -> DataFrame:
     """The runs that stay."""
     return runs.join(archivable(runs, as_of, days).select("id"), "id", "left_anti")

@@ -72,6 +72,11 @@ def lineage(tasks: DataFrame, attempts: DataFrame | None = None, operations: Dat
     return out
 
 
+def in_lineage_order(rows: DataFrame) -> DataFrame:
+    """Rows of lineages for display: each lineage's root first, the others by time."""
+    return rows.orderBy("lineage", F.col("kind") != "root", "at", "id")
+
+
 def latest_classification(operations: DataFrame) -> DataFrame:
     """lineage_id, classification: the last that is not null."""
     return operations.where("classification IS NOT NULL").groupBy("lineage_id").agg(F.max_by("classification", F.struct("inserted_at", "id")).alias("classification"))
