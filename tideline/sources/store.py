@@ -35,6 +35,15 @@ def materialised(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
+    """df, written to the shared folder in buckets by a column, by which it is then joined and grouped without a
+    shuffle. Its rows should be dealt by that column already: each task writes a file for every bucket it has rows of."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, by).option("path", f"{shared_base(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
