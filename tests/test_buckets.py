@@ -36,3 +36,7 @@ def test_each_table_is_shuffled_once_by_its_key_and_once_into_buckets(spread):
     t = fixtures.workflow_tables(spread, SF)
     assert t["runs"].count() == 1500 and t.buckets == 8
     assert [moves(f) for f in (t._runs, t._events, t._signals)] == [3, 1, 0]
+
+
+def test_tasks_are_shuffled_once_into_their_buckets(spread):
+    assert moves(fixtures.workflow_tables(spread, SF)._tasks) == 1
