@@ -40,3 +40,8 @@ def test_each_table_is_shuffled_once_by_its_key_and_once_into_buckets(spread):
 
 def test_tasks_are_shuffled_once_into_their_buckets(spread):
     assert moves(fixtures.workflow_tables(spread, SF)._tasks) == 1
+
+
+@pytest.mark.parametrize("name, most", [("manual_retries", 6)])
+def test_shuffles_by_key(spread, name, most):
+    assert shuffles(catalogue.QUERIES[name](spread, SF)) <= most

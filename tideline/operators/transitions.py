@@ -253,21 +253,25 @@ def manual_retry(runs: DataFrame, tasks: DataFrame, events: DataFrame, snapshots
     the activity go. Refused: activity_task_not_found, not_discarded, already_retried, run_not_found,
     run_not_failed, child_run_retry_not_supported, failure_not_replay_tail, compensation_retry_not_supported."""
     asked = requests.groupBy("id").agg(F.min(F.struct("operator", "reason")).alias("_r")).select("id", "_r.*")
-    mine = tasks.join(asked.select("id"), "id", "left_semi")
+    mine = asked.join(tasks, "id")
     touched = events.join(mine.select("run_id").distinct(), "run_id", "left_semi")
     owner = runs.select(F.col("id").alias("run_id"), F.col("state").alias("_run"), F.col("parent_run_id").alias("_parent"), F.lit(True).alias("_known"))
-    tail = touched.groupBy("run_id").agg(F.max(F.struct("seq", "event_type")).alias("_tail"))
-    opener = touched.select("run_id", "seq", F.col("event_type").alias("_opener"), F.col("command_id").alias("_command"))
+    order = Window.partitionBy("run_id").orderBy("seq")
+    ends = touched.select(
+        "run_id", F.struct("seq", "event_type").alias("_tail"), F.lead("seq").over(order).isNull().alias("_last"), *(F.lag(c).over(order).alias(n) for c, n in (("seq", "_at"), ("event_type", "_opener"), ("command_id", "_command")))
+    )
+    tail = ends.where("_last").drop("_last")  # a failure's opener is the event right before it
     successor = tasks.where("parent_task_id IS NOT NULL").select(F.col("parent_task_id").alias("id"), F.lit(True).alias("_retried")).distinct()
-    j = mine.join(successor, "id", "left").join(owner, "run_id", "left").join(tail, "run_id", "left").join(opener, ["run_id", "seq"], "left")
+    j = mine.join(successor, "id", "left").join(owner, "run_id", "left").join(tail, "run_id", "left")
+    j = j.withColumns({c: F.when(F.col("_at") == F.col("seq"), F.col(c)) for c in ("_opener", "_command")})
     at_tail = F.coalesce((F.col("_tail.seq") == F.col("seq") + 1) & (F.col("_tail.event_type") == "activity_failed"), F.lit(False))
     refusal = (
         F.when(~F.col("state").isin("discarded", "dead_lettered"), "not_discarded").when(F.col("_retried"), "already_retried")
         .when(F.col("_known").isNull(), "run_not_found").when(F.col("_run") != "failed", "run_not_failed").when(F.col("_parent").isNotNull(), "child_run_retry_not_supported")
         .when(~at_tail, "failure_not_replay_tail").when(F.col("_opener") == "compensation_scheduled", "compensation_retry_not_supported")
     )
-    j = asked.join(j.withColumn("refusal", refusal).withColumn("_there", F.lit(True)), "id", "left")
-    j = j.withColumn("refusal", F.when(F.col("_there").isNull(), "activity_task_not_found").otherwise(F.col("refusal")))
+    j = j.withColumn("refusal", refusal)
+    missing = asked.join(tasks.select("id"), "id", "left_anti").select("id", F.lit("activity_task_not_found").alias("refusal"))
     lineage, next_id, now = F.coalesce("lineage_id", "id"), derived_id(F.lit("retry"), "id"), moment(as_of)
     ok = j.where("refusal IS NULL").select("*", lineage.alias("_lineage"), next_id.alias("_next"), (F.col("seq") + 2).alias("_seq"))
     created = ok.select(
@@ -278,7 +282,7 @@ def manual_retry(runs: DataFrame, tasks: DataFrame, events: DataFrame, snapshots
     log = ok.select(F.col("id").alias("task_id"), F.col("_next").alias("successor_task_id"), F.col("_lineage").alias("lineage_id"), F.lit("manual_retry").alias("action"), F.lit("retryable").alias("classification"), "operator", "reason", now.alias("inserted_at"))
     reopened = ok.select(F.col("run_id").alias("id"), F.lit("suspended").alias("state"), *(F.lit(None).cast(t).alias(c) for c, t in (("error", "string"), ("lease_owner", "string"), ("lease_token", "long"), ("completed_at", "timestamp_ntz"), ("lease_expires_at", "timestamp_ntz"), ("next_wakeup_at", "timestamp_ntz"), ("retention_until", "timestamp_ntz"))))
     covering = snapshots.join(ok.select("run_id", F.col("seq").alias("_from")), "run_id").where(F.col("through_seq") >= F.col("_from")).select("run_id", "through_seq")
-    return {"tasks": created, "events": written, "operations": log, "runs": reopened, "dropped_snapshots": covering, "refused": j.where("refusal IS NOT NULL").select("id", "refusal")}
+    return {"tasks": created, "events": written, "operations": log, "runs": reopened, "dropped_snapshots": covering, "refused": j.where("refusal IS NOT NULL").select("id", "refusal").unionByName(missing)}
 
 
 def schedule_compensations(runs: DataFrame, events: DataFrame, tasks: DataFrame, requests: DataFrame, as_of: str) -> dict[str, DataFrame]:
