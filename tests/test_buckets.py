@@ -45,3 +45,7 @@ def test_tasks_are_shuffled_once_into_their_buckets(spread):
 @pytest.mark.parametrize("name, most", [("manual_retries", 6)])
 def test_shuffles_by_key(spread, name, most):
     assert shuffles(catalogue.QUERIES[name](spread, SF)) <= most
+
+
+def test_timers_lie_where_their_events_do(spread):
+    assert moves(fixtures.workflow_tables(spread, SF)._timers) == 0
