@@ -49,3 +49,8 @@ def test_shuffles_by_key(spread, name, most):
 
 def test_timers_lie_where_their_events_do(spread):
     assert moves(fixtures.workflow_tables(spread, SF)._timers) == 0
+
+
+@pytest.mark.parametrize("name", ["snapshot_extended"])
+def test_histories_take_no_shuffle(spread, name):
+    assert shuffles(catalogue.QUERIES[name](spread, SF)) == 0
