@@ -51,6 +51,6 @@ def test_timers_lie_where_their_events_do(spread):
     assert moves(fixtures.workflow_tables(spread, SF)._timers) == 0
 
 
-@pytest.mark.parametrize("name", ["snapshot_extended", "snapshot_steps"])
+@pytest.mark.parametrize("name", ["snapshot_extended", "snapshot_steps", "snapshot_trigger"])
 def test_histories_take_no_shuffle(spread, name):
     assert shuffles(catalogue.QUERIES[name](spread, SF)) == 0
