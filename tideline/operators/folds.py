@@ -57,13 +57,14 @@ def pairs(events: DataFrame) -> DataFrame:
     return following.where(F.col("event_type").isin(*PAIRS)).select("run_id", "seq", "event_type", "next_type", outcome.alias("outcome"))
 
 
-def steps(events: DataFrame) -> DataFrame:
+def steps(events: DataFrame, payload: bool = False) -> DataFrame:
     """run_id, seq, effect_type, command_id, result_type, advance_by, stop for every step root. An event is a
     root unless it closes the root before it; retried activities are one step (failed, retry, ... in a row).
     stop says why a root is no complete step: incomplete, parallel, mismatch, missing_command, unsupported.
 
     Histories without retries need no more than the event before and after. Retry chains are found as islands:
-    a failure that a retry follows, and the retry, belong to the root above them."""
+    a failure that a retry follows, and the retry, belong to the root above them. With payload, that of the root
+    and the numbers of all events of the step (members) come too."""
     e, after = F.col("event_type"), F.lead("event_type").over(_order())
     w = events.withColumns(
         {"_next": after, "_prev": F.lag("event_type").over(_order()), "_next_seq": F.lead("seq").over(_order()), "_next_command": F.lead("command_id").over(_order()), "_prev_command": F.lag("command_id").over(_order())}
@@ -72,7 +73,8 @@ def steps(events: DataFrame) -> DataFrame:
     in_chain = (e == "activity_retry_scheduled") | (F.col("_prev").isin(*PAIRS) & _closes(F.col("_prev"), e)) | ((F.col("_prev") == "activity_retry_scheduled") & e.isin("activity_completed", "activity_failed"))
     w = w.withColumn("_root", (~in_chain).cast("int")).withColumn("_island", F.sum("_root").over(_order().rowsBetween(Window.unboundedPreceding, 0)))
     group = w.groupBy("run_id", "_island").agg(
-        F.min(F.struct("seq", "event_type", "command_id")).alias("root"),
+        F.min(F.struct("seq", "event_type", "command_id", *(["payload"] * payload))).alias("root"),
+        F.collect_list("seq").alias("members"),
         F.max(F.struct("seq", "event_type", "_next", "_next_seq")).alias("last"),
         F.count(F.lit(1)).alias("n"),
         F.bool_and(F.col("command_id").isNotNull()).alias("named"),
@@ -91,7 +93,7 @@ def steps(events: DataFrame) -> DataFrame:
         .when(~F.col("named"), "missing_command")
         .when(F.col("least_command") != F.col("most_command"), "mismatch")
     )
-    return group.select("run_id", "root.seq", _effect(root).alias("effect_type"), "root.command_id", last.alias("result_type"), F.col("n").alias("advance_by"), stop.alias("stop"), "least_command", "most_command")
+    return group.select("run_id", "root.seq", _effect(root).alias("effect_type"), "root.command_id", last.alias("result_type"), F.col("n").alias("advance_by"), stop.alias("stop"), "least_command", "most_command", *(["root.payload", "members"] * payload))
 
 
 def compacted(events: DataFrame) -> DataFrame:
@@ -229,11 +231,14 @@ def matched(expected: DataFrame, events: DataFrame) -> DataFrame:
     or child id; a child's workflow and input hash); null or empty asks nothing. A missing command in the history
     matches any."""
     key = ["run_id", "seq"]
-    step = steps(events).select(*key, F.col("effect_type").alias("_effect"), "result_type", "advance_by", "stop", "least_command", "most_command")
-    held = events.select(*key, F.from_json("payload", "map<string,string>").alias("_payload"), F.lit(True).alias("_there"))
-    j = expected.join(held, key, "left").join(step, key, "left")
+    #: A step tells of all its events' places, so that histories meet what is expected in one join.
+    step = steps(events, payload=True).withColumnsRenamed({"effect_type": "_effect", "payload": "_payload"})
+    told = F.struct("_effect", "result_type", "advance_by", "stop", "least_command", "most_command", "_payload")
+    place = step.select("run_id", F.col("seq").alias("_root"), told.alias("_step"), F.explode("members").alias("seq"), F.lit(True).alias("_there"))
+    place = place.select(*key, "_there", F.when(F.col("seq") == F.col("_root"), F.col("_step")).alias("_step"))
+    j = expected.join(place, key, "left").select(*(F.col(c) for c in expected.columns), "_there", "_step.*").withColumn("_held", F.from_json("_payload", "map<string,string>"))
     own = lambda c: F.col(c).isNull() | F.col(c).eqNullSafe(F.col("command_id"))
-    agrees = F.coalesce(F.forall(F.map_entries("identity"), lambda x: F.col("_payload")[x["key"]].eqNullSafe(x["value"])), F.lit(True))
+    agrees = F.coalesce(F.forall(F.map_entries("identity"), lambda x: F.col("_held")[x["key"]].eqNullSafe(x["value"])), F.lit(True))
     same = F.coalesce(F.col("_effect") == F.col("effect_type"), F.lit(False)) & own("least_command") & own("most_command") & agrees
     ended = F.col("stop").isNull() | (F.col("stop") == "missing_command")
     verdict = F.when(F.col("_there").isNull(), "pending").when(~same, "mismatch").when(F.col("stop") == "incomplete", "pending").when(F.col("stop") == "parallel", "parallel").when(ended, "ok").otherwise("mismatch")
