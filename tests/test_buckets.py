@@ -54,3 +54,9 @@ def test_timers_lie_where_their_events_do(spread):
 @pytest.mark.parametrize("name", ["snapshot_extended", "snapshot_steps", "snapshot_trigger"])
 def test_histories_take_no_shuffle(spread, name):
     assert shuffles(catalogue.QUERIES[name](spread, SF)) == 0
+
+
+def test_last_events_are_hash_aggregates(spread):
+    df = catalogue.QUERIES["pending_effects"](spread, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and shuffles(df) == 0

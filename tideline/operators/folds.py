@@ -182,11 +182,10 @@ def _step(rows: list[dict], i: int) -> tuple[int, str | None]:
 
 def pending_effects(events: DataFrame) -> DataFrame:
     """run_id, seq, event_type, reason of runs whose history ends with an opener."""
-    last = events.groupBy("run_id").agg(F.max(F.struct("seq", "event_type")).alias("l")).select("run_id", "l.seq", "l.event_type")
-    reason = F.lit(None).cast("string")
-    for name, (_, effect) in PAIRS.items():
-        reason = F.when(F.col("event_type") == name, effect).otherwise(reason)
-    return last.where(F.col("event_type").isin(*PAIRS)).withColumn("reason", reason)
+    #: Largest numbers are hash aggregates; a struct with a text in it would be sorted for.
+    ends = events.groupBy("run_id").agg(F.max("seq").alias("seq"), *(F.max(F.when(F.col("event_type") == name, F.col("seq"))).alias(name) for name in PAIRS))
+    kind, reason = (F.coalesce(*(F.when(F.col(name) == F.col("seq"), told) for name, told in rows)) for rows in ([(n, n) for n in PAIRS], [(n, e) for n, (_, e) in PAIRS.items()]))
+    return ends.select("run_id", "seq", kind.alias("event_type"), reason.alias("reason")).where("event_type IS NOT NULL")
 
 
 def command_ordinals(commands: DataFrame) -> DataFrame:
