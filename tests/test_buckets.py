@@ -51,7 +51,7 @@ def test_timers_lie_where_their_events_do(spread):
     assert moves(fixtures.workflow_tables(spread, SF)._timers) == 0
 
 
-@pytest.mark.parametrize("name", ["snapshot_extended", "snapshot_steps", "snapshot_trigger"])
+@pytest.mark.parametrize("name", ["snapshot_extended", "snapshot_steps", "snapshot_trigger", "history_consumption"])
 def test_histories_take_no_shuffle(spread, name):
     assert shuffles(catalogue.QUERIES[name](spread, SF)) == 0
 
