@@ -60,3 +60,11 @@ def test_last_events_are_hash_aggregates(spread):
     df = catalogue.QUERIES["pending_effects"](spread, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan and shuffles(df) == 0
+
+
+def test_cancelled_runs_ask_for_runs_only(spread):
+    kept = dict(fixtures._CACHE)
+    fixtures._CACHE.clear()
+    catalogue.QUERIES["cancel_cascade"](spread, SF)
+    assert set(fixtures.workflow_tables(spread, SF)) == {"runs"}
+    fixtures._CACHE.update(kept)

@@ -129,15 +129,21 @@ def start_children(runs: DataFrame, requests: DataFrame, as_of: str, most_depth:
     )
 
 
-def cancel_cascade(runs: DataFrame, tasks: DataFrame, timers: DataFrame, roots: DataFrame, most_depth: int = 10) -> dict[str, DataFrame]:
-    """roots (id) and their descendants that have not ended: runs cancelled, open tasks discarded, timers
-    resolved. truncated: roots with deeper descendants."""
+def cancelled_runs(runs: DataFrame, roots: DataFrame, most_depth: int = 10) -> tuple[DataFrame, DataFrame]:
+    """The runs of a cascade, which asks for no other table, and the roots with deeper descendants."""
     below, truncated = graph.descendants(runs, roots, most_depth)
     ids = roots.select("id").unionByName(below.select("id")).distinct()
     hit = runs.where(F.col("state").isin(*NON_TERMINAL)).join(ids, "id", "left_semi")
+    return hit.select("id", F.col("state").alias("old_state"), F.lit("cancelled").alias("state")), truncated
+
+
+def cancel_cascade(runs: DataFrame, tasks: DataFrame, timers: DataFrame, roots: DataFrame, most_depth: int = 10) -> dict[str, DataFrame]:
+    """roots (id) and their descendants that have not ended: runs cancelled, open tasks discarded, timers
+    resolved. truncated: roots with deeper descendants."""
+    hit, truncated = cancelled_runs(runs, roots, most_depth)
     run_ids = hit.select(F.col("id").alias("run_id"))
     return {
-        "runs": hit.select("id", F.col("state").alias("old_state"), F.lit("cancelled").alias("state")),
+        "runs": hit,
         "tasks": tasks.where("state IN ('available', 'leased')").join(run_ids, "run_id", "left_semi").select("id", "run_id", F.lit("discarded").alias("state")),
         "timers": timers.where(~F.col("fired")).join(run_ids, "run_id", "left_semi").select("id", "run_id", F.lit(True).alias("fired")),
         "truncated": truncated,

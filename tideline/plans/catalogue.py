@@ -518,7 +518,7 @@ def _cascade(t):
 
 @query(_CASCADE + " SELECT id, state AS old_state, 'cancelled' AS state FROM hit")
 def cancel_cascade(t):
-    return _cascade(t)["runs"]
+    return transitions.cancelled_runs(t["runs"], _roots(t))[0]
 
 
 @query(_CASCADE + " SELECT id, run_id, 'discarded' AS state FROM wf_tasks WHERE state IN ('available','leased') AND run_id IN (SELECT id FROM hit)")
