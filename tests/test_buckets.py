@@ -42,7 +42,7 @@ def test_tasks_are_shuffled_once_into_their_buckets(spread):
     assert moves(fixtures.workflow_tables(spread, SF)._tasks) == 1
 
 
-@pytest.mark.parametrize("name, most", [("manual_retries", 6), ("compensation_batches", 3), ("replay_matches", 2)])
+@pytest.mark.parametrize("name, most", [("manual_retries", 6), ("compensation_batches", 3), ("replay_matches", 2), ("activity_context", 1)])
 def test_shuffles_by_key(spread, name, most):
     assert shuffles(catalogue.QUERIES[name](spread, SF)) <= most
 
