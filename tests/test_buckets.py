@@ -68,3 +68,8 @@ def test_cancelled_runs_ask_for_runs_only(spread):
     catalogue.QUERIES["cancel_cascade"](spread, SF)
     assert set(fixtures.workflow_tables(spread, SF)) == {"runs"}
     fixtures._CACHE.update(kept)
+
+
+def test_expired_task_leases_take_no_shuffle(spread):
+    t = fixtures.workflow_tables(spread, SF)
+    assert moves(t._tasks) == 1 and "Exchange" not in catalogue.QUERIES["expired_task_leases"](spread, SF)._jdf.queryExecution().executedPlan().toString()
