@@ -86,3 +86,9 @@ def carried(df):
 def test_tasks_carry_no_texts_into_their_buckets(spread):
     columns, _ = carried(fixtures.workflow_tables(spread, SF)._tasks())
     assert [c.split("#")[0] for c in columns.split()] == ["k", "seq", "inserted_at", "_done"]
+
+
+@pytest.mark.parametrize("name", ["runs", "events", "tasks", "timers", "signals"])
+def test_derived_tables_are_packed_tightly(spread, name):
+    files = fixtures.workflow_tables(spread, SF)[name].inputFiles()
+    assert files and all(f.endswith(".zstd.parquet") for f in files)

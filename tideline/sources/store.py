@@ -40,7 +40,7 @@ def bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
     shuffle. Its rows should be dealt by that column already: each task writes a file for every bucket it has rows of."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(buckets, by).option("path", f"{shared_base(spark)}/{table}").saveAsTable(table)
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, by).option("path", f"{shared_base(spark)}/{table}").saveAsTable(table)
     return spark.table(table)
 
 
