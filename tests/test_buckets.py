@@ -1,5 +1,7 @@
 """What belongs to a run or task is joined, grouped and put in order where it lies."""
 
+import os
+
 import pytest
 
 from tideline.plans import catalogue
@@ -96,3 +98,19 @@ def test_derived_tables_are_packed_tightly(spread, name):
 
 def test_runs_carry_remainders_of_their_customer(spread):
     assert "% 6) AS cust" in carried(fixtures.workflow_tables(spread, SF)._runs())[1]
+
+
+def most_read(monkeypatch, spark, name):
+    """The most bytes of files that a task may read while a table is derived, and when that is done."""
+    seen, setting = {}, "spark.sql.files.maxPartitionBytes"
+    kept = fixtures.bucketed
+    monkeypatch.setattr(fixtures, "SPLIT", 300)
+    monkeypatch.setattr(fixtures, "bucketed", lambda df, table, *rest: (seen.update({table: spark.conf.get(setting)}), kept(df, table, *rest))[1])
+    fixtures._Derived(spark, SF)[name]
+    return int(seen[f"wf_{name}"].rstrip("b")), spark.conf.get(setting)
+
+
+def test_line_items_are_read_in_splits_of_some_rows(spread, monkeypatch):
+    """6,000 line items at 300 to a task: a twentieth of the file."""
+    had = spread.conf.get("spark.sql.files.maxPartitionBytes")
+    assert most_read(monkeypatch, spread, "events") == (os.path.getsize(f"{SF}/lineitem.parquet") * 300 // 6000, had)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +46,25 @@ def bucketed(df: DataFrame, name: str, buckets: int, by: str) -> DataFrame:
     return spark.table(table)
 
 
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+@contextmanager
+def small_splits(spark: SparkSession, most: int | None) -> Iterator[None]:
+    """Within it, tasks that scan files read no more than so many bytes each; less where the session says so."""
+    name = "spark.sql.files.maxPartitionBytes"
+    had = spark.conf.get(name)
+    if most is not None and most < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(had):
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, had)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
