@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from tideline.operators import folds
 from tideline.plans import catalogue
 from tideline.sources import fixtures
 
@@ -119,3 +120,16 @@ def test_line_items_are_read_in_splits_of_some_rows(spread, monkeypatch):
 def test_orders_are_read_in_splits_of_some_rows(spread, monkeypatch):
     had = spread.conf.get("spark.sql.files.maxPartitionBytes")
     assert most_read(monkeypatch, spread, "runs") == (os.path.getsize(f"{SF}/orders.parquet") * 300 // 1500, had)
+
+
+def test_consumption_reads_histories_once(spread):
+    plan = catalogue.QUERIES["history_consumption"](spread, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+
+
+def test_consumption_counts_events_outside_of_steps(spread):
+    """A history that begins with a closer, one that stops, one without a run."""
+    rows = [("a", 0, "timer_fired"), ("a", 1, "timer_started"), ("b", 0, "timer_fired"), ("c", 0, "timer_started"), ("c", 1, "nonsense"), (None, 0, "timer_fired")]
+    events = spread.createDataFrame([(r, s, e, "c") for r, s, e in rows], "run_id string, seq long, event_type string, command_id string")
+    got = {r.run_id: tuple(r)[1:] for r in folds.consumption(events).collect()}
+    assert got == {"a": (2, 1, False), "b": (1, 1, True), "c": (2, 0, False), None: (1, 0, False)}

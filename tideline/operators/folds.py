@@ -99,11 +99,14 @@ def steps(events: DataFrame, payload: bool = False) -> DataFrame:
 def compacted(events: DataFrame) -> DataFrame:
     """Steps of each run up to the first that stops, none if that one is an error. Runs whose first step stops
     give no rows."""
-    numbered = steps(events)
+    return _judged(events).where("_kept").select("run_id", "seq", "effect_type", "command_id", "result_type", "advance_by")
+
+
+def _judged(events: DataFrame) -> DataFrame:
+    """All steps, with whether they are kept when the run is compacted."""
     bad = F.sum(F.col("stop").isNotNull().cast("int")).over(_order().rowsBetween(Window.unboundedPreceding, 0))
     first_stop = F.first("stop", ignorenulls=True).over(_order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    kept = numbered.withColumns({"_bad": bad, "_first": first_stop}).where((F.col("_bad") == 0) & (F.col("_first").isNull() | F.col("_first").isin("incomplete", "parallel")))
-    return kept.select("run_id", "seq", "effect_type", "command_id", "result_type", "advance_by")
+    return steps(events).withColumn("_kept", (bad == 0) & (first_stop.isNull() | first_stop.isin("incomplete", "parallel")))
 
 
 def snapshots(events: DataFrame, threshold: int = 1, most_bytes: int | None = None) -> DataFrame:
@@ -282,10 +285,10 @@ def latest_pending_timer(events: DataFrame) -> DataFrame:
 
 
 def consumption(events: DataFrame) -> DataFrame:
-    """run_id, events, consumed, complete: whether the steps use up the whole history."""
-    total = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("events"))
-    used = compacted(events).groupBy("run_id").agg(F.sum("advance_by").alias("consumed"))
-    out = total.join(used, "run_id", "left").withColumn("consumed", F.coalesce("consumed", F.lit(0).cast("long")))
+    """run_id, events, consumed, complete: whether the steps use up the whole history. Every event is part of one
+    step, so the steps tell how many there are."""
+    used = F.when(F.col("_kept") & F.col("run_id").isNotNull(), F.col("advance_by")).otherwise(0)
+    out = _judged(events).groupBy("run_id").agg(F.sum("advance_by").alias("events"), F.sum(used).alias("consumed"))
     return out.withColumn("complete", F.col("events") == F.col("consumed"))
 
 
